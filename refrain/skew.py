@@ -19,7 +19,8 @@ def spread_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by:
         raise ValueError("the split side must be the left one")
     a = large.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     b = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [*keys, "_part"], how).drop("_part")
+    # the repeats of ``small`` shrink to nothing in a shuffle, so its size there must not call for a broadcast
+    return a.join(b.hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
 def distinct_counts(frame: DataFrame, value: str | Column, name: str = "value") -> DataFrame:
