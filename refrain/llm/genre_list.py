@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from refrain.io import load
+from refrain.io import cut, load
 from refrain.skew import distinct_counts, spread_join
 
 # Other names of the entries, by entry, as the trade uses them.
@@ -164,22 +164,23 @@ def map_values(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
     are settled by the lesser genre_id. An empty list maps every value to -1. Further columns
     of either input are ignored.
     """
-    values = values.select("value").where(F.col("value").isNotNull()).distinct()
+    values = cut(values.select("value").where(F.col("value").isNotNull()).distinct())
     forms = reference_forms(entries, aliases)
-    form_tokens = forms.select("genre_id", "form_id", F.explode("tokens").alias("word")).groupBy("genre_id", "form_id", "word").agg(F.count("*").alias("tf"))
-    total = forms.select(F.countDistinct("form_id").alias("n_forms"))
+    # the tables of the list are used many times each, so they are written once
+    form_tokens = cut(forms.select("genre_id", "form_id", F.explode("tokens").alias("word")).groupBy("genre_id", "form_id", "word").agg(F.count("*").alias("tf")).coalesce(1))
+    total = form_tokens.select(F.countDistinct("form_id").alias("n_forms"))
     generic = F.when(F.col("word").isin(*sorted(GENERIC)), GENERIC_WEIGHT).otherwise(1.0)
-    vocabulary = (
+    vocabulary = cut((
         form_tokens.groupBy("word").agg(F.countDistinct("genre_id").alias("df"))
         .crossJoin(F.broadcast(total))  # one row
         .select("word", (generic * F.log(1 + F.col("n_forms") / F.col("df"))).alias("idf"), F.log(1 + F.col("n_forms")).alias("idf_other"))
-    )
+    ).coalesce(1))
     weighed = form_tokens.join(vocabulary, "word").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighed.groupBy("form_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighed = weighed.join(norm, "form_id").select("genre_id", "form_id", "word", (F.col("w") / F.col("norm")).alias("w_form"), "idf")
+    weighed = cut(weighed.join(norm, "form_id").select("genre_id", "form_id", "word", (F.col("w") / F.col("norm")).alias("w_form")).coalesce(1))
 
     readings = values.select("value", F.explode(_readings("value")).alias("t")).withColumn("reading", F.xxhash64("value", F.array_join("t", " ")))
-    value_tokens = readings.select("value", "reading", F.explode("t").alias("token"))
+    value_tokens = cut(readings.select("value", "reading", F.explode("t").alias("token")))
     tokens = value_tokens.select("token").distinct()
     keyed = tokens.select("token", F.explode(_deletions(F.col("token"), 2)).alias("key"))
     words = vocabulary.select("word", "idf", F.explode(_deletions(F.col("word"), 2)).alias("key"))
@@ -187,7 +188,7 @@ def map_values(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
     swapped = (F.array_sort(F.split("token", "")) == F.array_sort(F.split("word", ""))) & (d == 2)
     longest = F.greatest(F.length("token"), F.length("word"))
     allowed = F.when(longest >= TWO_EDITS, 2).when(longest >= ONE_EDIT, 1).otherwise(0)
-    repaired = (
+    repaired = cut(
         keyed.join(words, "key").select("token", "word", "idf").distinct()
         .withColumn("d", F.when(swapped, 1).otherwise(d)).where(F.col("d") <= allowed)
         .select("token", "word", "idf", (1 - F.col("d") / longest).alias("sim"))
@@ -202,7 +203,7 @@ def map_values(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
     value_norm = value_weights.groupBy("reading").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     value_weights = value_weights.join(value_norm, "reading").select("value", "reading", "token", (F.col("w") / F.col("norm")).alias("w_value"))
     scores = (
-        value_weights.join(repaired.select("token", "word", "sim"), "token").join(weighed.drop("idf"), "word")
+        value_weights.join(repaired.select("token", "word", "sim"), "token").join(weighed, "word")
         .groupBy("value", "reading", "genre_id", "form_id", "word").agg(F.max(F.col("sim") * F.col("w_value") * F.col("w_form")).alias("part"))
         .groupBy("value", "reading", "genre_id", "form_id").agg(F.sum("part").alias("score"))
         .groupBy("value").agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("genre_id")).alias("low"))).alias("best"))
