@@ -37,7 +37,7 @@ MOST_CHOICES = 5
 # Delimiters that only part values, and the signs and words that part values or join a name.
 _PLAIN = (("newline", r"\s*\n\s*"), ("semicolon", r"\s*[;؛]+\s*"), ("bar", r"\s*\|+\s*"), ("slashes", r"\s*//\s*"), ("backslashes", r"\s*\\{1,2}\s*"), ("bullet", r"\s*[·•、،]\s*"), ("tab", r"\s*\t\s*"))
 # a comma before a last article turns a name around, it parts nothing
-_COMMA = r"\s*,\s*(?!(?:[Tt]he|THE|[Dd]ie|[Dd]er|[Dd]as|[Ll]es|[Ll]os|[Ll]as)\s*$)"
+_COMMA = r"\s*,(?!\s*(?:[Tt]he|THE|[Dd]ie|[Dd]er|[Dd]as|[Ll]es|[Ll]os|[Ll]as)\s*$)\s*"
 _UNSURE = (("spaced slash", r"\s+/\s+"), ("slash", r"\s*/\s*"), ("comma", _COMMA), ("cross", r"\s+[x×]\s+"), ("mixed", r"\s*[;؛|,،]+\s*"))
 _GUEST = re.compile(r"\s*[(\[]\s*(?:feat\.?|ft\.?|featuring|with)\s+(?P<inner>[^)\]]+)[)\]]\s*$|\s+(?:feat\.?|ft\.?|featuring)\s+(?P<rest>.+)$", re.I)
 _JOIN = re.compile(r"\s+(?:&|\+|and|und|et|y)\s+|\s*[&+]\s*")
@@ -127,7 +127,7 @@ def parses(value: str) -> Iterator[tuple[str, list[str]]]:
     for name, pattern in (("none", None), *_PLAIN, *_UNSURE):
         if pattern is None:
             pieces = [(v, False)]
-        elif re.search(pattern, v):
+        elif re.search(pattern, v) and (name != "mixed" or len(set(re.findall("[;؛|,،]", v))) > 1):
             pieces = _clean(_split_outside(v, pattern))
         else:
             continue
