@@ -181,17 +181,19 @@ def map_values(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
 
     readings = values.select("value", F.explode(_readings("value")).alias("t")).withColumn("reading", F.xxhash64("value", F.array_join("t", " ")))
     value_tokens = cut(readings.select("value", "reading", F.explode("t").alias("token")))
-    tokens = value_tokens.select("token").distinct()
+    # a token that is two longer than every word is within two edits of none
+    longest = vocabulary.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("n")).first()["n"]
+    tokens = value_tokens.select("token").where(F.length("token") <= longest + 2).distinct()
     keyed = tokens.select("token", F.explode(_deletions(F.col("token"), 2)).alias("key"))
     words = vocabulary.select("word", "idf", F.explode(_deletions(F.col("word"), 2)).alias("key"))
     d = F.levenshtein("token", "word")
     swapped = (F.array_sort(F.split("token", "")) == F.array_sort(F.split("word", ""))) & (d == 2)
-    longest = F.greatest(F.length("token"), F.length("word"))
-    allowed = F.when(longest >= TWO_EDITS, 2).when(longest >= ONE_EDIT, 1).otherwise(0)
+    longer = F.greatest(F.length("token"), F.length("word"))
+    allowed = F.when(longer >= TWO_EDITS, 2).when(longer >= ONE_EDIT, 1).otherwise(0)
     repaired = cut(
         keyed.join(words, "key").select("token", "word", "idf").distinct()
         .withColumn("d", F.when(swapped, 1).otherwise(d)).where(F.col("d") <= allowed)
-        .select("token", "word", "idf", (1 - F.col("d") / longest).alias("sim"))
+        .select("token", "word", "idf", (1 - F.col("d") / longer).alias("sim"))
     )
     best = repaired.groupBy("token").agg(F.max_by("idf", "sim").alias("idf"))
     other = vocabulary.agg(F.max("idf_other").alias("idf_other"))

@@ -85,7 +85,7 @@ _STRONG = re.compile("(?:" + "|".join(_BEGINS) + ")|.*?(?:" + "|".join(_ANYWHERE
 TRIGGERS = (
     "{", "<%", "@@", "__", "%", "[", "<", "|", "undefined", "null", "nan-", "todo", "tbd", "fixme", "traceback", ", line", "error", "erreur",
     "fehler", "warning", "notice", "script", "skript", "cookie", "privacy", "datos", "données", "akzeptieren", "accept", "aceptar", "log in", "login",
-    "logged", "sign in", "signed", "signin", "melde", "connectez", "sesión", "expired", "gefunden", "encontrada", "no existe", "existe plus",
+    "logged", "sign in", "signed", "signin", "melde", "connectez", "sesión", "expired", "gefunden", "not found", "reload", "captcha", "try again", "members only", "sign up", "subscribe", "support", "page expired", "encontrada", "no existe", "existe plus",
     "the page", "page you", "missing", "introuvable", "gone", "forbidden", "gateway", "unavailable", "unauthor", "time-out", "timeout", "bad request",
     "requests", "moved", "not available", "available in your", "be loaded", "timed out", "failed to", "blocked", "require", "needs", "removed",
     "geladen", "entfernt", "nicht erreichbar", "nicht verfügbar", "anmeld", "benötigt", "pas pu", "supprim", "réserv", "indisponible", "activ",
