@@ -174,7 +174,7 @@ def _evidence(values: DataFrame) -> DataFrame:
 
 
 def _alternatives(values: DataFrame, shapes: dict[tuple[str, str], float]) -> DataFrame:
-    """(id, dialect, n, code, spelled) with a row for each value of each parse; ``spelled`` is its cost when spelled out."""
+    """(id, k, n, code, spelled) with a row for each value of the k-th parse; ``spelled`` is its cost when spelled out."""
     shared = values.sparkSession.sparkContext.broadcast(shapes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,13 +185,13 @@ def _alternatives(values: DataFrame, shapes: dict[tuple[str, str], float]) -> Da
                 options = list(parses(v))
                 if len(options) == 1:
                     continue
-                for dialect, pieces in options:
+                for k, (_, pieces) in enumerate(options):
                     for p in pieces:
-                        rows.append((i, field, dialect, len(pieces), p, ESCAPE + known.get((field, shape_of(p)), RARE_SHAPE) + CHARACTER * len(p)))
-            yield pd.DataFrame(rows, columns=["id", "field", "dialect", "n", "piece", "spelled"])
+                        rows.append((i, field, k, len(pieces), p, ESCAPE + known.get((field, shape_of(p)), RARE_SHAPE) + CHARACTER * len(p)))
+            yield pd.DataFrame(rows, columns=["id", "field", "k", "n", "piece", "spelled"])
 
-    out = values.mapInPandas(run, "id binary, field string, dialect string, n int, piece string, spelled double")
-    return out.select("id", "dialect", "n", F.xxhash64("field", "piece").alias("code"), "spelled")
+    out = values.mapInPandas(run, "id binary, field string, k int, n int, piece string, spelled float")
+    return out.select("id", "k", "n", F.xxhash64("field", "piece").alias("code"), "spelled")
 
 
 def _identity(field: F.Column, value: F.Column) -> F.Column:
@@ -206,9 +206,9 @@ def fields_of(frame: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> D
 
 
 def dialects(rows: DataFrame) -> DataFrame:
-    """(id, field, value, dialect, n) of the cheapest dialect of every distinct value in which a delimiter occurs.
+    """(id, field, value, k, n) of the cheapest dialect, the k-th of parses(), of every distinct value in which a delimiter occurs.
 
-    ``rows`` has field and value. Ties go to the parse with fewer values, then by name. Values
+    ``rows`` has field and value. Ties go to the parse with fewer values, then to the earlier one. Values
     without any delimiter are left out: they are whole. An empty table gives an empty result.
     """
     distinct = rows.select("field", "value").distinct()
@@ -227,8 +227,8 @@ def dialects(rows: DataFrame) -> DataFrame:
     unsure = distinct.where(F.col("value").rlike("(?i)" + _MAYBE)).withColumn("id", _identity(F.col("field"), F.col("value")))
     costs = spread_join(_alternatives(unsure.select("id", "field", "value"), shapes), codes, ["code"], ["id"], "left", salts=4)
     cost = F.least("spelled", F.coalesce("bits", "spelled"))
-    parse = costs.groupBy("id", "dialect", "n").agg((F.sum(cost) + CUT * F.col("n")).alias("cost"))
-    best = parse.groupBy("id").agg(F.min(F.struct(F.round("cost", 6).alias("cost"), "n", "dialect")).alias("b")).select("id", F.col("b.dialect").alias("dialect"), F.col("b.n").alias("n"))
+    parse = costs.groupBy("id", "k", "n").agg((F.sum(cost) + CUT * F.col("n")).alias("cost"))
+    best = parse.groupBy("id").agg(F.min(F.struct(F.round("cost", 4).alias("cost"), "n", "k")).alias("b")).select("id", F.col("b.k").alias("k"), F.col("b.n").alias("n"))
     return unsure.join(best, "id")
 
 
@@ -236,10 +236,10 @@ def split_values(rows: DataFrame) -> DataFrame:
     """(id, pieces) of every distinct value of ``rows`` that holds two or more values."""
 
     @F.pandas_udf("array<string>")
-    def cut(value: pd.Series, dialect: pd.Series) -> pd.Series:
-        return pd.Series([next((p for d, p in parses(v) if d == name), None) for v, name in zip(value, dialect)], dtype=object)
+    def cut(value: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([next(itertools.islice(parses(v), int(i), None))[1] for v, i in zip(value, k)], dtype=object)
 
-    return dialects(rows).where("n > 1").select("id", cut("value", "dialect").alias("pieces"))
+    return dialects(rows).where("n > 1").select("id", cut("value", "k").alias("pieces"))
 
 
 def unpack(frame: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -261,5 +261,10 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
     """p4_dialects: how many distinct field values each dialect reads, by field."""
-    rows = dialects(fields_of(load(spark, folder, "candidates"), "candidate_id"))
+
+    @F.pandas_udf("string")
+    def name(value: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([next(itertools.islice(parses(v), int(i), None))[0] for v, i in zip(value, k)], dtype=object)
+
+    rows = dialects(fields_of(load(spark, folder, "candidates"), "candidate_id")).withColumn("dialect", name("value", "k"))
     return rows.groupBy("field", "dialect").agg(F.count("*").alias("n_values"))
