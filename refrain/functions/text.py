@@ -115,6 +115,16 @@ def artist_similarity_strict(a: Column, b: Column) -> Column:
     return F.when(_prefix(F.replace(x, F.lit(" ")), F.replace(y, F.lit(" ")), 5), F.greatest(similarity(x, y), F.lit(0.92))).otherwise(similarity(x, y))
 
 
+def strict_titles(x: Column, y: Column, told_x: Column, told_y: Column, least: float) -> Column:
+    """Whether T8b reaches ``least`` (.94 at most), from the texts' T3a and T7 forms."""
+    return (x == y) | ((F.size(told_x) > 0) & (told_x == told_y)) | _prefix(F.replace(x, F.lit(" ")), F.replace(y, F.lit(" ")), 4) | (similarity(x, y) >= least)
+
+
+def strict_artists(x: Column, y: Column, least: float) -> Column:
+    """Whether T9b reaches ``least`` (.92 at most), from the texts' T3a forms."""
+    return (x == y) | _prefix(F.replace(x, F.lit(" ")), F.replace(y, F.lit(" ")), 5) | (similarity(x, y) >= least)
+
+
 def text_close(a: Column, b: Column, least: float) -> Column:
     """Whether two texts reach a similarity; blank or null ones never do."""
     return F.coalesce((ws_trim(a) != "") & (ws_trim(b) != "") & (similarity_ascii(a, b) >= least), F.lit(False))

@@ -9,6 +9,15 @@ from pyspark.sql.window import Window
 from refrain.functions import numbers as N
 from refrain.functions import text as T
 
+# Points of trust by provider, of which those of 5 points are credible catalogues, and the priority up to which O1 trusts a provider.
+TRUST = {
+    5.0: ("spotify", "itunes", "deezer", "musicbrainz", "radiojavan", "audiomack", "navahang", "shazam", "genius"),
+    4.0: ("audd", "acoustid", "songrec"),
+    2.0: ("discogs", "theaudiodb", "soundcloud"),
+    1.0: ("lastfm", "wikidata", "youtube"),
+}
+TRUSTED = 6
+
 
 def fingerprint_score(acoustid: Column, delta: Column, title: Column, artist: Column, album: Column, compilation: Column) -> Column:
     """Points from 0 to 100; similarities that are null count 0, a missing distance half."""
@@ -64,7 +73,7 @@ def descending(c: Column) -> Column:
 
 def trust_tier(acoustid: Column, audio: Column, priority: Column, sources: Column) -> Column:
     """O1: 3 with audio evidence, 2 for a trusted source, 1 if two sources agree, else 0."""
-    return F.when(acoustid.isNotNull() | F.coalesce(audio, F.lit(False)), 3).when(priority <= 6, 2).when(F.size(F.array_distinct(sources)) >= 2, 1).otherwise(0)
+    return F.when(acoustid.isNotNull() | F.coalesce(audio, F.lit(False)), 3).when(priority <= TRUSTED, 2).when(F.size(F.array_distinct(sources)) >= 2, 1).otherwise(0)
 
 
 def top_k(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
@@ -99,31 +108,75 @@ def completeness(weights: dict[str, int], present: dict[str, Column]) -> tuple[C
     return score, missing
 
 
-def decide(tracks: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(track_id, candidate_id, total, confidence, margin) of tracks whose best candidate is clear.
+def _column(frame: DataFrame, name: str, kind: str) -> Column:
+    """Column ``name``, or nulls where ``frame`` lacks it."""
+    return F.col(name) if name in frame.columns else F.lit(None).cast(kind)
+
+
+def agreeing(rows: DataFrame) -> DataFrame:
+    """(candidate_id, n_agree, first_year): other providers that name the same recording, and the earliest year of its album releases.
 
-    Points for title, artist, length, album, presence of fields, agreeing sources and audio; takes that
-    only one side names cost. A candidate must reach 68 points and lead any different recording
-    by 12. Repeated rows count once; tracks without usable candidates give no row.
+    ``rows``: track_id, candidate_id, provider, c_title, c_artist, cv, c_year, is_album. Rows of one track
+    agree on takes, title (.90) and artist (.82); a row agrees with itself, which counts for the year only.
     """
-    t = tracks.dropDuplicates(["track_id"]).select("track_id", F.col("current_title").alias("t_title"), F.col("current_artist").alias("t_artist"), F.col("current_album").alias("t_album"), "duration")
-    c = candidates.dropDuplicates(["candidate_id"]).where(T.nonempty(F.col("title")).isNotNull() & T.nonempty(F.col("artist")).isNotNull())
-    j = t.join(c, "track_id")
+    r = rows.select("track_id", "candidate_id", "provider", "cv", "c_year", "is_album", T.words_text(F.col("c_title"), True).alias("x"), T.telling_words(F.col("c_title")).alias("told"), T.words_text(F.col("c_artist"), True).alias("y"))  # once a row, not once a pair
+    o = r.select(*[F.col(c).alias(f"o_{c}") for c in r.columns])
+    met = r.join(o, (F.col("track_id") == F.col("o_track_id")) & (F.col("cv") == F.col("o_cv")))
+    met = met.where(T.strict_titles(F.col("x"), F.col("o_x"), F.col("told"), F.col("o_told"), 0.90) & T.strict_artists(F.col("y"), F.col("o_y"), 0.82))
+    other = (F.col("candidate_id") != F.col("o_candidate_id")) & (F.col("provider") != F.col("o_provider"))
+    return met.groupBy("candidate_id").agg(F.size(F.collect_set(F.when(other, F.col("o_provider")))).alias("n_agree"), F.min(F.when(F.col("o_is_album"), F.col("o_c_year"))).alias("first_year"))
+
+
+def decide(tracks: DataFrame, candidates: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """(track_id, candidate_id, total, confidence, margin) of tracks whose best supported candidate is clear.
+
+    C6 gives points for title, artist, length, album, presence of fields, agreeing sources, the provider's trust
+    and audio. C7 then leaves only candidates that are recognised, corroborated or exact in a credible catalogue,
+    without a weak raw score on one source alone and with the takes that the file's name and title tell; the others
+    neither win nor stand in the way. Of these the best must reach 68 points and lead any different recording by 12.
+    Trust goes by the names of ``TRUST``; a provider of ``providers`` (provider, priority) that it lacks is credible
+    up to the priority that O1 trusts. Repeated rows count once; tracks without supported candidates give no row.
+    """
+    t = tracks.dropDuplicates(["track_id"]).select("track_id", _column(tracks, "filename", "string").alias("filename"), F.col("current_title").alias("t_title"), F.col("current_artist").alias("t_artist"), F.col("current_album").alias("t_album"), "duration")
+    c = candidates.dropDuplicates(["candidate_id"])
+    kind, secondary = _column(c, "release_type", "string"), F.lower(_column(c, "release_secondary_types", "string"))
+    c = (
+        c.withColumn("provider", _column(c, "provider", "string")).withColumn("c_title", F.coalesce("title", F.lit(""))).withColumn("c_artist", F.coalesce("artist", F.lit(""))).withColumn("cv", T.version_tags(F.col("title")))
+        .withColumn("is_album", F.coalesce(F.lower(kind) == "album", F.lit(False)) & ~F.coalesce("is_compilation", F.lit(False)) & ~F.coalesce(secondary.contains("compilation") | secondary.contains("live"), F.lit(False)))
+        .withColumn("dated", F.col("release_date").isNotNull() | _column(c, "year", "string").isNotNull()).withColumn("c_year", N.date_prefix_year(F.col("release_date"), _column(c, "year", "string")))
+    )
+    agree = agreeing(c.select("track_id", "candidate_id", "provider", "c_title", "c_artist", "cv", "c_year", "is_album"))
+    trust, credible = F.coalesce(*[F.when(F.col("provider").isin(*names), F.lit(points)) for points, names in TRUST.items()]), F.col("provider").isin(*TRUST[5.0])
+    if providers is not None:
+        c = c.join(F.broadcast(providers.select("provider", "priority").dropDuplicates(["provider"])), "provider", "left")
+        trust = F.coalesce(trust, F.when(F.col("priority") <= TRUSTED, max(TRUST)))
+        credible = credible | (F.coalesce(F.col("priority") <= TRUSTED, F.lit(False)) & ~F.col("provider").isin(*[n for names in TRUST.values() for n in names]))
+    c = c.withColumn("trust", F.coalesce(trust, F.lit(0.0))).withColumn("credible", F.coalesce(credible, F.lit(False)))
+    usable = c.where(T.nonempty(F.col("title")).isNotNull() & T.nonempty(F.col("artist")).isNotNull())
+    j = t.join(usable, "track_id").join(agree, "candidate_id")  # a usable row at least agrees with itself
+    meaningful = lambda f: F.coalesce((T.ws_trim(F.col(f)) != "") & ~T.ws_trim(F.col(f)).startswith("@"), F.lit(False))
     title = F.when(T.nonempty(F.col("t_title")).isNull(), F.lit(None)).otherwise(T.title_similarity_strict(F.col("t_title"), F.col("title")))
     artist = F.when(T.nonempty(F.col("t_artist")).isNull(), F.lit(None)).otherwise(T.artist_similarity_strict(F.col("t_artist"), F.col("artist")))
-    album = F.when(T.nonempty(F.col("t_album")).isNull() | T.nonempty(F.col("album")).isNull(), F.lit(None)).otherwise(T.similarity(T.words_text(F.col("t_album"), True), T.words_text(F.col("album"), True)))
-    audio = F.col("acoustid").isNotNull() | F.coalesce(F.col("audio_recognition"), F.lit(False))
+    album = F.when(~meaningful("t_album") | T.nonempty(F.col("album")).isNull(), F.lit(None)).otherwise(T.similarity(T.words_text(F.col("t_album"), True), T.words_text(F.col("album"), True)))
+    audio = F.coalesce(F.col("acoustid") > 0, F.lit(False)) | F.coalesce(F.col("audio_recognition"), F.lit(False))
     delta = F.when(F.col("duration_s").isNotNull(), F.abs(F.col("duration") - F.col("duration_s"))).when(F.col("duration_delta") <= 60, F.col("duration_delta"))
-    j = j.select("track_id", "candidate_id", "ord", F.col("title").alias("c_title"), F.col("artist").alias("c_artist"), F.col("isrc"), title.alias("ts"), artist.alias("as"), album.alias("ls"), audio.alias("audio"), delta.alias("delta"), T.version_tags(F.col("t_title")).alias("tv"), T.version_tags(F.col("title")).alias("cv"), F.greatest(F.size(F.array_distinct("sources")), F.lit(1)).alias("n_sources"), "score", "album", "cover_url", "release_date", "track_number", "genre", "album_artist", "is_compilation")
+    n_sources = F.greatest(F.size(F.array_distinct(F.array_compact("sources"))), F.col("n_agree") + 1, F.lit(1))
+    original = ~meaningful("t_album") & F.col("is_album") & F.coalesce(F.col("c_year") == F.col("first_year"), F.lit(False))
+    j = j.select("track_id", "candidate_id", "ord", "c_title", "c_artist", F.col("isrc"), title.alias("ts"), artist.alias("as"), album.alias("ls"), audio.alias("audio"), delta.alias("delta"), T.version_tags(F.concat_ws(" ", "filename", "t_title")).alias("tv"), "cv", n_sources.alias("n_sources"), F.coalesce("score", F.lit(0.0)).alias("score"), meaningful("album").alias("has_album"), "cover_url", "dated", "track_number", "genre", "album_artist", F.coalesce("is_compilation", F.lit(False)).alias("is_compilation"), "is_album", original.alias("original"), "trust", "credible")
     has = lambda f, y, n=0.0: F.when(F.col(f).isNotNull(), y).otherwise(n)
+    holds = lambda f, y, n=0.0: F.when(F.col(f), y).otherwise(n)
     total = (
         F.coalesce(F.col("ts") * 28, F.lit(21.0)) + F.coalesce(F.col("as") * 18, F.lit(15.0)) + N.duration_points(F.col("delta"), F.col("audio"))
-        + F.when(F.col("ls").isNull(), 0.0).when(F.col("ls") < 0.40, -8.0).otherwise(F.col("ls") * 18)
-        + has("album", 3.0, -4.0) + has("cover_url", 3.0, -2.0) + has("release_date", 2.0) + has("track_number", 1.5) + has("genre", 1.5) + has("album_artist", 1.0) + has("isrc", 1.0)
-        + 5.0 * F.least(F.col("n_sources") - 1, F.lit(3)) + 0.08 * F.coalesce(F.col("score"), F.lit(0.0)) + F.when(F.col("audio"), 15.0).otherwise(0.0)
-        - 22.0 * F.size(F.array_except("cv", "tv")) - 16.0 * F.size(F.array_except("tv", "cv")) - F.when(F.col("is_compilation"), 7.0).otherwise(0.0)
+        + F.when(F.col("ls") < 0.40, -8.0).when(F.col("ls").isNotNull(), F.col("ls") * 18).when(F.col("is_album"), 6.0).when(F.col("is_compilation"), -7.0).otherwise(0.0)
+        + holds("has_album", 3.0, -4.0) + has("cover_url", 3.0, -2.0) + holds("dated", 2.0) + has("track_number", 1.5) + has("genre", 1.5) + has("album_artist", 1.0) + has("isrc", 1.0)
+        + 5.0 * F.least(F.col("n_sources") - 1, F.lit(3)) + F.col("trust") + 0.08 * N.clamp(F.col("score"), 0.0, 100.0) + holds("audio", 15.0) + holds("original", 4.0)
+        - 22.0 * F.size(F.array_except("cv", "tv")) - 16.0 * F.size(F.array_except("tv", "cv")) - holds("is_compilation", 7.0)
     )
-    scored = j.withColumn("total", F.round(total, 6))
+    at_least = lambda x, y: (F.coalesce(F.col("ts"), F.lit(1.0)) >= x) & (F.coalesce(F.col("as"), F.lit(1.0)) >= y)
+    exact = F.col("ts").isNotNull() & F.col("as").isNotNull() & at_least(0.90, 0.82) & F.coalesce(F.col("delta") <= 8, F.lit(False))
+    supported = (F.col("audio") & at_least(0.72, 0.65)) | ((F.col("n_sources") >= 2) & at_least(0.82, 0.72)) | (F.col("credible") & exact)
+    weak = (F.col("score") < 55) & ~F.col("audio") & (F.col("n_sources") < 2)
+    scored = j.withColumn("total", F.round(total, 6)).where(supported & ~weak & (F.col("cv") == F.col("tv")))
     by_rank = Window.partitionBy("track_id").orderBy(F.col("total").desc(), "ord", "candidate_id")  # a track has few candidates
     ranked = scored.withColumn("rank", F.row_number().over(by_rank)).withColumn("next", F.lead(F.struct("total", "c_title", "c_artist", "isrc", "cv")).over(by_rank)).where("rank = 1")
     n = F.col("next")

@@ -269,8 +269,8 @@ def lengths(s: SparkSession, d: str) -> DataFrame:
 
 
 def approve(s: SparkSession, d: str) -> DataFrame:
-    """Tracks whose best candidate is clear."""
-    return matching.decide(load(s, d, "tracks"), load(s, d, "candidates"))
+    """Tracks whose best supported candidate is clear."""
+    return matching.decide(load(s, d, "tracks"), load(s, d, "candidates"), load(s, d, "providers"))
 
 
 _QUERIES: dict[str, Query] = {f.__name__: f for f in (
