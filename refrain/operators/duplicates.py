@@ -29,14 +29,36 @@ def known_duplicates(inputs: DataFrame, reference: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+KEYS = ("isrc", "title_artist", "duration", "fingerprint", "file_hash")
+
+
+def _signatures(signatures: DataFrame) -> DataFrame:
+    """Each signature once, with its keys in one form; blank ones are null."""
+    return signatures.dropDuplicates(["track_id"]).select("track_id", F.nullif(T.code_key(F.col("isrc")), F.lit("")).alias("isrc"), "title_artist", "duration", F.nullif("fingerprint", F.lit("")).alias("fingerprint"), F.nullif("file_hash", F.lit("")).alias("file_hash"))
+
+
+def _classes(s: DataFrame) -> DataFrame:
+    """(keys, id, n, same) of the classes of equal signatures; ``same``: whether its copies are duplicates of each other."""
+    same = F.col("isrc").isNotNull() | F.col("fingerprint").isNotNull() | (F.col("file_hash").isNotNull() & F.col("title_artist").isNotNull())
+    return s.groupBy(*KEYS).agg(F.min("track_id").alias("id"), F.count("*").alias("n")).withColumn("same", same)
+
+
+def _of_class(s: DataFrame, classes: DataFrame) -> DataFrame:
+    """``s`` joined to its classes as ``s`` and ``c``."""
+    on = None
+    for k in KEYS:
+        c = F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}"))
+        on = c if on is None else on & c
+    return s.alias("s").join(classes.alias("c"), on)
+
+
 def batch_links(signatures: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, rep_a, rep_b) of classes of equal signatures that are duplicates; a class stands for its exact copies.
+    """(a, b, n_a, n_b) of classes of equal signatures that are duplicates; a class stands for its exact copies.
 
     ``signatures``: track_id, isrc, title_artist, duration, fingerprint, file_hash. Three equality joins, each with the
     length as a band, make up the alternatives of the rule, so rows of one key meet only if they differ.
     """
-    s = signatures.dropDuplicates(["track_id"]).select("track_id", F.nullif(T.code_key(F.col("isrc")), F.lit("")).alias("isrc"), "title_artist", "duration", F.nullif("fingerprint", F.lit("")).alias("fingerprint"), F.nullif("file_hash", F.lit("")).alias("file_hash"))
-    classes = s.groupBy("isrc", "title_artist", "duration", "fingerprint", "file_hash").agg(F.min("track_id").alias("id"), F.count("*").alias("n"))
+    classes = _classes(_signatures(signatures)).drop("same")
     other = classes.select(*[F.col(c).alias(f"o_{c}") for c in classes.columns])
     near = F.coalesce(F.abs(F.col("duration") - F.col("o_duration")) <= BAND, F.lit(True))
     both = F.coalesce(F.col("title_artist") == F.col("o_title_artist"), F.lit(False)) | (F.col("fingerprint").isNotNull() & F.col("o_fingerprint").isNotNull())
@@ -50,18 +72,25 @@ def batch_duplicates(signatures: DataFrame) -> DataFrame:
 
     Copies of a signature that has a code, a fingerprint or a hash with a title are duplicates of each other.
     """
-    s = signatures.dropDuplicates(["track_id"]).select("track_id", F.nullif(T.code_key(F.col("isrc")), F.lit("")).alias("isrc"), "title_artist", "duration", F.nullif("fingerprint", F.lit("")).alias("fingerprint"), F.nullif("file_hash", F.lit("")).alias("file_hash"))
-    keys = ["isrc", "title_artist", "duration", "fingerprint", "file_hash"]
-    ids = s.groupBy(*keys).agg(F.min("track_id").alias("class_id"), F.count("*").alias("n"))
+    s = _signatures(signatures)
     links = batch_links(signatures)
-    sums = links.select(F.col("a").alias("class_id"), F.col("n_b").alias("k")).unionByName(links.select(F.col("b").alias("class_id"), F.col("n_a").alias("k"))).groupBy("class_id").agg(F.sum("k").alias("k"))
-    same = F.col("isrc").isNotNull() | F.col("fingerprint").isNotNull() | (F.col("file_hash").isNotNull() & F.col("title_artist").isNotNull())
-    counted = ids.join(sums, "class_id", "left").select(*keys, "class_id", (F.coalesce("k", F.lit(0)) + F.when(same, F.col("n") - 1).otherwise(0)).alias("n_links"))
-    on = None
-    for k in keys:
-        c = F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}"))
-        on = c if on is None else on & c
-    return s.alias("s").join(counted.alias("c"), on).select("s.track_id", "c.class_id", F.col("c.n_links").cast("long").alias("n_links"))
+    sums = links.select(F.col("a").alias("id"), F.col("n_b").alias("k")).unionByName(links.select(F.col("b").alias("id"), F.col("n_a").alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
+    counted = _classes(s).join(sums, "id", "left").select(*KEYS, F.col("id").alias("class_id"), (F.coalesce("k", F.lit(0)) + F.when(F.col("same"), F.col("n") - 1).otherwise(0)).alias("n_links"))
+    return _of_class(s, counted).select("s.track_id", "c.class_id", F.col("c.n_links").cast("long").alias("n_links"))
+
+
+def leader_of_each(signatures: DataFrame) -> DataFrame:
+    """(track_id, class_id, leader) of every signature, in the order of track_id.
+
+    A class of exact copies is one node, as what its first row joins its copies join too; so the rounds run over
+    classes only. Copies that are no duplicates even of each other (no code, no fingerprint, no hash with a
+    title) link to nothing by the rule or only by a hash and a title they lack: each leads itself.
+    """
+    s = _signatures(signatures)
+    classes = _classes(s)
+    led = leaders(classes.select("id"), batch_links(signatures).select("a", "b"))
+    known = classes.join(led, "id").select(*KEYS, F.col("id").alias("class_id"), "leader", "same")
+    return _of_class(s, known).select("s.track_id", "c.class_id", F.when(F.col("c.same"), F.col("c.leader")).otherwise(F.col("s.track_id")).alias("leader"))
 
 
 def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -153,11 +153,8 @@ def batch_duplicates(s: SparkSession, d: str) -> DataFrame:
 
 
 def leader_clusters(s: SparkSession, d: str) -> DataFrame:
-    """The leader that each class of signatures joins."""
-    sig = load(s, d, "signatures")
-    links = duplicates.batch_links(sig).select("a", "b")
-    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    return duplicates.leaders(nodes, links).select(F.col("id").alias("track_id"), "leader")
+    """The leader that each signature joins, with the class of its exact copies."""
+    return duplicates.leader_of_each(load(s, d, "signatures"))
 
 
 def incremental_pending(s: SparkSession, d: str) -> DataFrame:
