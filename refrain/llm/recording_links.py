@@ -1,12 +1,12 @@
 """Matching records of two sources without a common number (problem 3).
 
-A deterministic cascade of rules, each an exact join on a weaker combination of attributes: code and
+Rules from strong to weak, each an exact join on a weaker combination of attributes: code and
 title, title and artist, title and a part of the artist, title without one word and artist, code and
-artist. All rules' keys go through one shuffle with the rule in the key; a candidate's pairs then come
-from its first rule that verifies, and what that rule resolves is anti-joined from the weaker ones.
-Every pair is verified on title, take, artist and length. Confidence is the rule's precision
-with add-one smoothing, on labels that the rule doesn't use: agreeing codes for
-rules without the code, agreeing lengths for the others.
+artist. All rules' keys go through one shuffle with the rule in the key; a pair counts for the
+strongest rule that it fits. No records are taken out between the rules, as a recording may have several
+pairs. Every pair is verified on title, take, artist and length. Confidence is the precision
+of the rule over all pairs that fit it, those of stronger rules too, with add-one smoothing, on
+labels that the rule doesn't use: agreeing codes for rules without the code, agreeing lengths for the others.
 
 Before the shuffle a Bloom filter of the sheets' keys drops keys that no sheet has. Its size is
 fixed (``BLOOM_BITS``), so what is broadcast does not grow; a full filter only drops less.
@@ -289,8 +289,7 @@ def verified(met: DataFrame, frequent: frozenset[str]) -> DataFrame:
         return pd.Series(out)
 
     off = F.abs(F.col("length") - F.col("seconds"))
-    held = F.abs(F.col("distance") - F.col("seconds"))  # some rows hold the length in place of the distance
-    near = F.coalesce(off <= SECONDS, F.when((F.col("distance") > 60) & (held <= SECONDS), F.lit(True)), F.lit(True))
+    near = F.coalesce(off <= SECONDS, F.lit(True))  # a great distance may be one or the length itself, so it rejects nothing
     same_code = (F.col("isrc") != "") & (F.col("isrc") == F.col("code"))
     rows = met.withColumn("same_code", same_code).where(near)
     ok = rows.where(agree("title", "artist", "work_title", "performer", "same_code"))
@@ -318,11 +317,6 @@ def links(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     met = likely(hits.join(keys, "key"))
     first = met.groupBy("candidate_id", "sheet_id").agg(F.min(F.struct("rule", "title", "artist", "isrc", "length", "distance", "work_title", "performer", "code", "seconds")).alias("m"), F.collect_set("rule").alias("rules"))
     pairs = cut(verified(first.select("candidate_id", "sheet_id", "rules", "m.*"), frequent))
-    resolved = None
-    for rule in RULES:  # what a stronger rule resolved is taken out before the next
-        own = pairs.where(F.col("rule") == rule)
-        own = own if resolved is None else own.join(resolved.select("candidate_id", "sheet_id"), ["candidate_id", "sheet_id"], "left_anti")
-        resolved = own if resolved is None else resolved.unionByName(own)
     # every pair that fits a rule is a label for it; a sheet's code only contradicts if the other source has it at all
     known = pairs.groupBy("sheet_id").agg(F.max("code_says").alias("known"))
     each = pairs.join(known, "sheet_id").select(F.explode("rules").alias("rule"), "code_says", "length_says", "known")
