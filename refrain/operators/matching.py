@@ -1,4 +1,4 @@
-"""Scoring, agreement, votes and survivorship over candidates of a track."""
+"""Scoring, agreement, votes and survivorship over candidates of a track."""
 
 from __future__ import annotations
 

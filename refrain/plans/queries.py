@@ -116,7 +116,7 @@ def vote_language(s: SparkSession, d: str) -> DataFrame:
 
 
 def golden_record(s: SparkSession, d: str) -> DataFrame:
-    """Fields of a track from its candidates in the order of their score."""
+    """Fields of a track from all its candidates in the order of their score; donors are not gated by recording."""
     c = _candidates(s, d, "track_id", "score", "ord", "album", "composer", "label", "isrc", "release_country")
     fields = ["album", "composer", "label", "isrc", "release_country"]
     for f in fields:
