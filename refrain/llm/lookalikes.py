@@ -140,6 +140,64 @@ def normalise(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     return distinct.mapInPandas(run, "value string, form string, damaged boolean")
 
 
+def _letters(text: str) -> list[str]:
+    """The characters of ``text`` decomposed, each by its Latin prototype if it has one."""
+    return [_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", text)]
+
+
+def _n_scripts(text: str) -> int:
+    """How many of Latin, Cyrillic and Greek ``text`` is written in."""
+    return len({_script(c) for c in text if c.isalpha()} & {"LATIN", "CYRILLIC", "GREEK"})
+
+
+def unusual(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+    """(value) of non-ASCII values whose comparable form differs from their skeleton group's usual form by look-alike letters.
+
+    ``values``: value, n. These are words made wholly of look-alikes, which only an original of the group tells. The usual form
+    is the one of fewest scripts, then of most rows. A group needs a Cyrillic or Greek member. Forms that
+    differ by joiners or by Persian letters are left to comparable().
+    """
+    shared = values.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            rows = []
+            for v, n in zip(b["value"], b["n"]):
+                form = comparable(v, known)
+                rows.append((v, form, skeleton(form), _n_scripts(form), n))
+            yield pd.DataFrame(rows, columns=["value", "form", "skeleton", "scripts", "n"])
+
+    @F.pandas_udf("boolean")
+    def alike(form: pd.Series, usual: pd.Series) -> pd.Series:
+        return pd.Series([_letters(x) == _letters(y) for x, y in zip(form, usual)], dtype=bool)
+
+    @F.pandas_udf("boolean")
+    def sound(value: pd.Series) -> pd.Series:
+        known, out = shared.value, []
+        for v in value:
+            _, path, gain = mojibake.search(v, known)
+            out.append(not (path and gain >= mojibake.MARGIN or mojibake.lost(v)))
+        return pd.Series(out, dtype=bool)
+
+    foreign = F.col("value").rlike(r"[^\x00-\x7f]")
+    other = values.where(foreign).mapInPandas(run, "value string, form string, skeleton string, scripts int, n long")
+    plain = values.where(~foreign).select("value", F.col("value").alias("form"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("skeleton"), F.when(F.col("value").rlike("[A-Za-z]"), 1).otherwise(0).alias("scripts"), "n")
+    every = other.unionByName(plain)
+    mixed = other.where(F.col("form").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")).select("skeleton").distinct()
+    held = every.join(mixed, "skeleton", "left_semi")
+    counted = held.groupBy("skeleton", "form", "scripts").agg(F.sum("n").alias("n"))
+    usual = counted.groupBy("skeleton").agg(F.min(F.struct("scripts", (-F.col("n")).alias("n"), "form")).alias("u"), F.count("*").alias("k")).where("k > 1").select("skeleton", F.col("u.form").alias("usual"))
+    odd = held.where(foreign).join(usual, "skeleton").where(F.col("form") != F.col("usual"))
+    return odd.where(alike("form", "usual")).where(sound("value")).select("value").distinct()
+
+
+def counts_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(value, n): the distinct values of the three fields, ASCII ones too, with their rows."""
+    parts = [load(spark, folder, table).select(F.col(field).alias("value")) for table, _, field in SOURCES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+
+
 def fields_of(spark: SparkSession, folder: str) -> DataFrame:
     """(src, row_id, field, value) of the fields that problem 7 names; non-ASCII values only, as no other can be a case."""
     parts = []
@@ -158,14 +216,16 @@ def forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_found: every value that looks usual but is made of other characters."""
+    """p7_found: every value that looks usual but is made of other characters: by its own words, or by its skeleton's originals."""
     rows = fields_of(spark, folder)
     lexicon = mojibake.learn_lexicon(load(spark, folder, "candidates").select(F.col("title").alias("text")))
-    changed = normalise(rows, lexicon).where(~F.col("damaged")).select("value")
+    changed = normalise(rows, lexicon).where(~F.col("damaged")).select("value").unionByName(unusual(counts_of(spark, folder), lexicon)).distinct()
     return spread_join(rows, changed, ["value"], ["src", "row_id", "field"]).select("src", "row_id", "field").distinct()
 
 
 def groups(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_groups: skeletons that more than one distinct original has, with the number of originals and of rows."""
-    titles = load(spark, folder, "candidates").where(F.col("title").isNotNull()).groupBy(F.col("title").alias("value")).agg(F.countDistinct("candidate_id").alias("n"))
-    return titles.withColumn("skeleton", skeleton_of("value")).groupBy("skeleton").agg(F.count("*").alias("n_originals"), F.sum("n").alias("n_rows")).where("n_originals > 1")
+    """p7_groups: skeletons that more than one distinct original of the three fields has, with the number of originals and of rows."""
+    parts = [load(spark, folder, table).select(F.lit(field).alias("field"), F.col(key).alias("row_id"), F.col(field).alias("value")) for table, key, field in SOURCES]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("value").isNotNull()).distinct()
+    originals = rows.groupBy("value").agg(F.count("*").alias("n"))
+    return originals.withColumn("skeleton", skeleton_of("value")).groupBy("skeleton").agg(F.count("*").alias("n_originals"), F.sum("n").alias("n_rows")).where("n_originals > 1")
