@@ -4,25 +4,29 @@ A dialect says how a field is cut: by which delimiter, with which quoting, and a
 words. Every field is parsed by each dialect that can apply. A parse costs the code lengths of its
 values: a value seen alone elsewhere has the code of its frequency, any other is spelled out after
 the code of its shape (its pattern of words and signs). Frequencies and shapes are counted over
-all rows from fields that can be read in one way only; they stay distributed, and the few
+all distinct field values that can be read in one way only; they stay distributed, and the few
 frequent shapes, at most ``1 / SHAPE_SHARE``, are all that is broadcast.
+
+At joining signs a name may or may not be cut. As the cost is a sum over values, the cheapest choice
+of cuts is found exactly, by dynamic programming over the signs of each piece, however many there are.
 """
 
 from __future__ import annotations
 
 import csv
-import itertools
+import hashlib
 import json
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.io import load
-from refrain.skew import spread_join
+from refrain.io import cut, load
+from refrain.skew import hot_keys, spread_join
 
 FIELDS = ("artist", "composer", "release_secondary_types")
 #: Bits of announcing a value that is spelled out, of a character, of a shape that is not frequent, and of a cut.
@@ -31,8 +35,6 @@ ESCAPE, CHARACTER, RARE_SHAPE, CUT = 6.0, 4.5, 16.0, 1.0
 SHAPE_SHARE = 5e-4
 #: Distinct fields in which a value with a joining sign must stand to be known as one.
 RECURS = 3
-#: Joining signs at which each choice of cuts is tried; with more of them all, none and the last are.
-MOST_CHOICES = 5
 
 # Delimiters that only part values, and the signs and words that part values or join a name.
 _PLAIN = (("newline", r"\s*\n\s*"), ("semicolon", r"\s*[;؛]+\s*"), ("bar", r"\s*\|+\s*"), ("slashes", r"\s*//\s*"), ("backslashes", r"\s*\\{1,2}\s*"), ("bullet", r"\s*[·•、،]\s*"), ("tab", r"\s*\t\s*"))
@@ -74,28 +76,20 @@ def _clean(pieces: list[str]) -> list[tuple[str, bool]]:
     return [b for p in pieces if (b := _bare(p))[0]]
 
 
-def _joined(pieces: list[tuple[str, bool]]) -> Iterator[tuple[str, list[str]]]:
-    """Each choice of cuts at the joining signs of unquoted pieces: (name of the choice, values)."""
-    places = []
-    for i, (p, quoted) in enumerate(pieces):
-        if not quoted:
-            held = [m.span() for m in _QUOTED.finditer(p)] if '"' in p else []
-            places += [(i, m.start(), m.end()) for m in _JOIN.finditer(p) if m.start() and m.end() < len(p) and not any(a < m.start() < b for a, b in held)]
-    n = len(places)
-    if n <= MOST_CHOICES:
-        choices = list(itertools.product((0, 1), repeat=n))
-    else:
-        choices = [(0,) * n, (1,) * n, (0,) * (n - 1) + (1,)]
-    for choice in choices:
-        out: list[str] = []
-        for i, (p, _) in enumerate(pieces):
-            at = 0
-            for c, (k, a, b) in zip(choice, places):
-                if k == i and c:
-                    out.append(p[at:a])
-                    at = b
-            out.append(p[at:])
-        yield "".join(map(str, choice)), [v for x in out if (v := _bare(x)[0].strip(" ,"))]
+def _places(piece: str, quoted: bool) -> list[tuple[int, int]]:
+    """Begin and end of each joining sign of an unquoted piece that stands between other text."""
+    if quoted:
+        return []
+    held = [m.span() for m in _QUOTED.finditer(piece)] if '"' in piece else []
+    return [m.span() for m in _JOIN.finditer(piece) if m.start() and m.end() < len(piece) and not any(a < m.start() < b for a, b in held)]
+
+
+def _segments(piece: str, places: list[tuple[int, int]], most: int) -> Iterator[tuple[int, int, str]]:
+    """(i, j, value) of what stands from the i-th cut to the j-th, with at most ``most`` joining signs inside."""
+    begins, ends = [0, *(b for _, b in places)], [*(a for a, _ in places), len(piece)]
+    for i, b in enumerate(begins):
+        for j in range(i, min(len(ends), i + most + 1)):
+            yield i, j, _bare(piece[b : ends[j]])[0].strip(" ,")
 
 
 def sure_parse(value: str) -> list[str] | None:
@@ -116,14 +110,13 @@ def sure_parse(value: str) -> list[str] | None:
     return None
 
 
-def parses(value: str) -> Iterator[tuple[str, list[str]]]:
-    """(dialect, values) of every dialect that can apply to ``value``; the first takes it whole."""
+def layouts(value: str) -> Iterator[tuple[str, list[tuple[str, bool]]]]:
+    """(dialect, pieces) of every dialect that can apply to ``value``; the first takes it whole, pieces of others may be cut on at joining signs."""
     v = value.strip()
-    yield "whole", [_bare(v)[0]] if _bare(v)[0] else []
+    yield "whole", [(b, True)] if (b := _bare(v)[0]) else []
     if v[:1] in "[{" and (sure := sure_parse(v)) is not None:
-        yield "array", sure
+        yield "array", [(p, True) for p in sure]
         return
-    seen = {(v,)}
     for name, pattern in (("none", None), *_PLAIN, *_UNSURE):
         if pattern is None:
             pieces = [(v, False)]
@@ -131,19 +124,14 @@ def parses(value: str) -> Iterator[tuple[str, list[str]]]:
             pieces = _clean(_split_outside(v, pattern))
         else:
             continue
-        layouts = [(name, pieces)]
-        if (name in ("none", "comma", "cross")) and (m := _GUEST.search(v)):
+        if name in ("none", "comma", "cross") and (m := _GUEST.search(v)):
             main, guests = v[: m.start()], m.group("inner") or m.group("rest")
-            layouts = []
             for on_main, on_guests in ((None, None), (None, r"\s*,\s*"), (r"\s*,\s*", r"\s*,\s*")):
                 a = _clean(_split_outside(main, on_main) if on_main else [main])
                 b = _clean(_split_outside(guests, on_guests) if on_guests else [guests])
-                layouts.append((f"guests{on_main is not None:d}{on_guests is not None:d}", a + b))
-        for layout, cut in layouts:
-            for choice, values in _joined(cut):
-                if values and tuple(values) not in seen:
-                    seen.add(tuple(values))
-                    yield f"{layout}:{choice}", values
+                yield f"guests{on_main is not None:d}{on_guests is not None:d}", a + b
+        else:
+            yield name, pieces
 
 
 _SHAPE_TOKEN = re.compile(r"[^\W\d_](?=\.)|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|\S")
@@ -159,39 +147,86 @@ def shape_of(value: str) -> str:
     return " ".join(out)
 
 
+def code_of(field: str, value: str) -> int:
+    """A 64-bit name of a value of a field."""
+    return int.from_bytes(hashlib.blake2b(f"{field}\u0001{value}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _evidence(values: DataFrame) -> DataFrame:
-    """(field, piece, shape) of all values in fields that can be read in one way only, once for each distinct field value."""
+    """(field, code, shape, signs) of all values in fields that can be read in one way only, once for each distinct field value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for field, v in zip(b["field"], b["value"]):
                 pieces = [v.strip()] if not _MAYBE_PY.search(v) else sure_parse(v)
-                rows.extend((field, p, shape_of(p)) for p in pieces or () if '"' not in p and not re.search(r"\s(?:feat\.?|ft\.?|featuring)\s|\(with ", p))
-            yield pd.DataFrame(rows, columns=["field", "piece", "shape"])
+                rows.extend((field, code_of(field, p), shape_of(p), len(_places(p, False))) for p in pieces or () if '"' not in p and not re.search(r"\s(?:feat\.?|ft\.?|featuring)\s|\(with ", p))
+            yield pd.DataFrame(rows, columns=["field", "code", "shape", "signs"])
 
-    return values.mapInPandas(run, "field string, piece string, shape string")
+    return values.mapInPandas(run, "field string, code long, shape string, signs int")
 
 
-def _alternatives(values: DataFrame, shapes: dict[tuple[str, str], float]) -> DataFrame:
-    """(id, k, n, code, spelled) with a row for each value of the k-th parse; ``spelled`` is its cost when spelled out."""
-    shared = values.sparkSession.sparkContext.broadcast(shapes)
+def _lookups(values: DataFrame, most: int) -> DataFrame:
+    """(id, code) of each value that some parse of a field value holds and that has at most ``most`` joining signs, as no known value has more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for b in batches:
-            rows = []
+            ids: list[bytes] = []
+            codes: list[int] = []
             for i, field, v in zip(b["id"], b["field"], b["value"]):
-                options = list(parses(v))
-                if len(options) == 1:
-                    continue
-                for k, (_, pieces) in enumerate(options):
-                    for p in pieces:
-                        rows.append((i, field, k, len(pieces), p, ESCAPE + known.get((field, shape_of(p)), RARE_SHAPE) + CHARACTER * len(p)))
-            yield pd.DataFrame(rows, columns=["id", "field", "k", "n", "piece", "spelled"])
-
-    out = values.mapInPandas(run, "id binary, field string, k int, n int, piece string, spelled float")
-    return out.select("id", "k", "n", F.xxhash64("field", "piece").alias("code"), "spelled")
+                asked = {x for n, (_, pieces) in enumerate(layouts(v)) for p, quoted in pieces for _, _, x in (_segments(p, _places(p, quoted), most) if n else ((0, 0, p),)) if x}
+                if len(asked) > 1:
+                    ids.extend([i] * len(asked))
+                    codes.extend(code_of(field, x) for x in asked)
+                if len(ids) > 50_000:
+                    yield pd.DataFrame({"id": ids, "code": codes})
+                    ids, codes = [], []
+            yield pd.DataFrame({"id": ids, "code": np.array(codes, dtype=np.int64)})
+
+    return values.mapInPandas(run, "id binary, code long")
+
+
+def cheapest(field: str, value: str, bits: dict[int, float], shapes: dict[tuple[str, str], float], most: int) -> tuple[float, int, str, list[str]]:
+    """(cost, number of values, dialect, values) of the cheapest parse; ties go to fewer values, then to the earlier dialect."""
+
+    def price(x: str, known: bool = True) -> float:
+        if not x:
+            return 0.0
+        spelled = ESCAPE + CHARACTER * len(x) + (shapes.get((field, shape_of(x)), RARE_SHAPE) if known else RARE_SHAPE)
+        return (min(spelled, bits.get(code_of(field, x), spelled)) if known else spelled) + CUT
+
+    best = None
+    for name, pieces in layouts(value):
+        cost, values = 0.0, []
+        for p, quoted in pieces:
+            places = _places(p, quoted)
+            if not places:
+                x = p if quoted else _bare(p)[0].strip(" ,")
+                cost += price(x)
+                values += [x] if x else []
+                continue
+            n = len(places) + 1
+            costs: dict[tuple[int, int], tuple[float, str]] = {(i, j): (price(x), x) for i, j, x in _segments(p, places, most)}
+            begins, ends = np.array([0, *(b for _, b in places)]), np.array([*(a for a, _ in places), len(p)])
+            upto: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+            for j in range(n):
+                options = [(round(upto[i][0] + costs[i, j][0], 6), upto[i][1] + bool(costs[i, j][1]), i) for i in range(max(0, j - most), j + 1)]
+                if j > most:  # longer values than any known one can only be spelled out
+                    far = np.array([u[0] for u in upto[: j - most]]) + CUT + ESCAPE + RARE_SHAPE + CHARACTER * (ends[j] - begins[: j - most])
+                    i = int(np.argmin(far))
+                    options.append((round(float(far[i]), 6), upto[i][1] + 1, i))
+                upto.append(min(options))
+            cost += upto[n][0]
+            found, j = [], n
+            while j:
+                i = upto[j][2]
+                x = costs[i, j - 1][1] if (i, j - 1) in costs else p[begins[i] : ends[j - 1]].strip(" ,")
+                found += [x] if x else []
+                j = i
+            values += reversed(found)
+        if values and (best is None or (round(cost, 4), len(values)) < best[:2]):
+            best = (round(cost, 4), len(values), name, values)
+    return best or (0.0, 0, "whole", [])
 
 
 def _identity(field: F.Column, value: F.Column) -> F.Column:
@@ -206,40 +241,39 @@ def fields_of(frame: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> D
 
 
 def dialects(rows: DataFrame) -> DataFrame:
-    """(id, field, value, k, n) of the cheapest dialect, the k-th of parses(), of every distinct value in which a delimiter occurs.
+    """(id, field, value, n, dialect, pieces) of the cheapest parse of every distinct value in which a delimiter occurs.
 
-    ``rows`` has field and value. Ties go to the parse with fewer values, then to the earlier one. Values
+    ``rows`` has field and value. Ties go to the parse with fewer values, then to the earlier dialect. Values
     without any delimiter are left out: they are whole. An empty table gives an empty result.
     """
     distinct = rows.select("field", "value").distinct()
     evidence = _evidence(distinct)
-    counted = evidence.groupBy("field", "piece", "shape").agg(F.count("*").alias("c"))
+    counted = evidence.groupBy("field", "code").agg(F.count("*").alias("c"), F.min("shape").alias("shape"), F.min("signs").alias("signs"))
     # what holds a joining sign is a name only if it recurs: else it may be the tail of a list
-    counted = counted.where((F.col("c") >= RECURS) | ~F.col("shape").rlike(r"[&+,]|\b(?:and|und|et|y|x)\b"))
-    by_shape = counted.groupBy("field", "shape").agg(F.sum("c").alias("c"))
-    totals = {r["field"]: r["c"] for r in by_shape.groupBy("field").agg(F.sum("c").alias("c")).collect()}  # a row a field
+    counted = cut(counted.where((F.col("c") >= RECURS) | ~F.col("shape").rlike(r"[&+,]|\b(?:and|und|et|y|x)\b")))
+    by_shape = counted.groupBy("field", "shape").agg(F.sum("c").alias("c"), F.max("signs").alias("signs"))
+    known = by_shape.groupBy("field").agg(F.sum("c").alias("c"), F.max("signs").alias("signs")).collect()  # a row a field
+    totals, most = {r["field"]: r["c"] for r in known}, max((r["signs"] for r in known), default=0)
     total = F.coalesce(*[F.when(F.col("field") == k, F.lit(float(v))) for k, v in totals.items()], F.lit(1.0))
     # a shape is frequent from SHAPE_SHARE on, so at most 1 / SHAPE_SHARE of them a field come to the driver
     frequent = by_shape.where(F.col("c") >= total * SHAPE_SHARE).collect()
     shapes = {(r["field"], r["shape"]): -math.log2(r["c"] / totals[r["field"]]) for r in frequent}
-    codes = counted.select(F.xxhash64("field", "piece").alias("code"), (-F.log2(F.col("c") / (total + 1))).alias("bits"))
+    codes = counted.select("code", (-F.log2(F.col("c") / (total + 1))).cast("float").alias("bits"))
 
     unsure = distinct.where(F.col("value").rlike("(?i)" + _MAYBE)).withColumn("id", _identity(F.col("field"), F.col("value")))
-    costs = spread_join(_alternatives(unsure.select("id", "field", "value"), shapes), codes, ["code"], ["id"], "left", salts=4)
-    cost = F.least("spelled", F.coalesce("bits", "spelled"))
-    parse = costs.groupBy("id", "k", "n").agg((F.sum(cost) + CUT * F.col("n")).alias("cost"))
-    best = parse.groupBy("id").agg(F.min(F.struct(F.round("cost", 4).alias("cost"), "n", "k")).alias("b")).select("id", F.col("b.k").alias("k"), F.col("b.n").alias("n"))
-    return unsure.join(best, "id")
-
+    asked = _lookups(unsure.select("id", "field", "value"), most)
+    told = spread_join(asked, codes, ["code"], ["id"], salts=4).groupBy("id").agg(F.collect_list(F.struct("code", "bits")).alias("codes"))  # the parts of one value
+    shared = rows.sparkSession.sparkContext.broadcast(shapes)
 
-def split_values(rows: DataFrame) -> DataFrame:
-    """(id, pieces) of every distinct value of ``rows`` that holds two or more values."""
+    @F.pandas_udf("struct<n: int, dialect: string, pieces: array<string>>")
+    def parse(field: pd.Series, value: pd.Series, code: pd.Series, bits: pd.Series) -> pd.DataFrame:
+        shape, out = shared.value, []
+        for f, v, c, b in zip(field, value, code, bits):
+            out.append(cheapest(f, v, {} if c is None else dict(zip(c.tolist(), b.tolist())), shape, most)[1:])
+        return pd.DataFrame(out, columns=["n", "dialect", "pieces"])
 
-    @F.pandas_udf("array<string>")
-    def cut(value: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([next(itertools.islice(parses(v), int(i), None))[1] for v, i in zip(value, k)], dtype=object)
-
-    return dialects(rows).where("n > 1").select("id", cut("value", "k").alias("pieces"))
+    parsed = unsure.join(told, "id", "left").withColumn("p", parse("field", "value", F.col("codes.code"), F.col("codes.bits")))
+    return parsed.select("id", "field", "value", "p.*")
 
 
 def unpack(frame: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -248,10 +282,11 @@ def unpack(frame: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> Data
     Null and blank fields give no row; a repeated row of ``frame`` gives its rows once. Any
     further columns are ignored.
     """
-    rows = fields_of(frame, key, fields).where(F.col("value").rlike("(?i)" + _MAYBE))
-    pieces = split_values(fields_of(frame, key, fields))
-    held = rows.select(key, "field", _identity(F.col("field"), F.col("value")).alias("id")).distinct()
-    return spread_join(held, pieces, ["id"], [key]).select(key, "field", F.posexplode("pieces").alias("pos", "value")).select(key, "field", (F.col("pos") + 1).cast("long").alias("pos"), "value")
+    rows = fields_of(frame, key, fields)
+    pieces = dialects(rows).where("n > 1").select("id", "pieces")
+    held = rows.where(F.col("value").rlike("(?i)" + _MAYBE)).select(key, "field", _identity(F.col("field"), F.col("value")).alias("id"))
+    hot = hot_keys(held, ["id"])
+    return spread_join(held, pieces, ["id"], [key], hot=hot, distinct=True).select(key, "field", F.posexplode("pieces").alias("pos", "value")).select(key, "field", (F.col("pos") + 1).cast("long").alias("pos"), "value")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
@@ -261,10 +296,5 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
     """p4_dialects: how many distinct field values each dialect reads, by field."""
-
-    @F.pandas_udf("string")
-    def name(value: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([next(itertools.islice(parses(v), int(i), None))[0] for v, i in zip(value, k)], dtype=object)
-
-    rows = dialects(fields_of(load(spark, folder, "candidates"), "candidate_id")).withColumn("dialect", name("value", "k"))
+    rows = dialects(fields_of(load(spark, folder, "candidates"), "candidate_id"))
     return rows.groupBy("field", "dialect").agg(F.count("*").alias("n_values"))
