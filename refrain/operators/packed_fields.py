@@ -189,11 +189,13 @@ def _lookups(values: DataFrame, most: int) -> DataFrame:
 def cheapest(field: str, value: str, bits: dict[int, float], shapes: dict[tuple[str, str], float], most: int) -> tuple[float, int, str, list[str]]:
     """(cost, number of values, dialect, values) of the cheapest parse; ties go to fewer values, then to the earlier dialect."""
 
-    def price(x: str, known: bool = True) -> float:
-        if not x:
-            return 0.0
-        spelled = ESCAPE + CHARACTER * len(x) + (shapes.get((field, shape_of(x)), RARE_SHAPE) if known else RARE_SHAPE)
-        return (min(spelled, bits.get(code_of(field, x), spelled)) if known else spelled) + CUT
+    prices: dict[str, float] = {"": 0.0}
+
+    def price(x: str) -> float:
+        if (c := prices.get(x)) is None:
+            spelled = ESCAPE + CHARACTER * len(x) + shapes.get((field, shape_of(x)), RARE_SHAPE)
+            c = prices[x] = (min(spelled, bits.get(code_of(field, x), spelled)) if bits else spelled) + CUT
+        return c
 
     best = None
     for name, pieces in layouts(value):
@@ -265,15 +267,17 @@ def dialects(rows: DataFrame) -> DataFrame:
     told = spread_join(asked, codes, ["code"], ["id"], salts=4).groupBy("id").agg(F.collect_list(F.struct("code", "bits")).alias("codes"))  # the parts of one value
     shared = rows.sparkSession.sparkContext.broadcast(shapes)
 
-    @F.pandas_udf("struct<n: int, dialect: string, pieces: array<string>>")
-    def parse(field: pd.Series, value: pd.Series, code: pd.Series, bits: pd.Series) -> pd.DataFrame:
-        shape, out = shared.value, []
-        for f, v, c, b in zip(field, value, code, bits):
-            out.append(cheapest(f, v, {} if c is None else dict(zip(c.tolist(), b.tolist())), shape, most)[1:])
-        return pd.DataFrame(out, columns=["n", "dialect", "pieces"])
-
-    parsed = unsure.join(told, "id", "left").withColumn("p", parse("field", "value", F.col("codes.code"), F.col("codes.bits")))
-    return parsed.select("id", "field", "value", "p.*")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shape = shared.value
+        for b in batches:
+            out = []
+            for i, f, v, c, x in zip(b["id"], b["field"], b["value"], b["code"], b["bits"]):
+                _, n, dialect, pieces = cheapest(f, v, {} if c is None else dict(zip(c.tolist(), x.tolist())), shape, most)
+                out.append((i, f, v, n, dialect, pieces))
+            yield pd.DataFrame(out, columns=["id", "field", "value", "n", "dialect", "pieces"])
+
+    parsed = unsure.join(told, "id", "left").select("id", "field", "value", F.col("codes.code").alias("code"), F.col("codes.bits").alias("bits"))
+    return parsed.mapInPandas(run, "id binary, field string, value string, n int, dialect string, pieces array<string>")
 
 
 def unpack(frame: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
