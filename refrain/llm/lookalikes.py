@@ -1,10 +1,14 @@
 """Visually identical text made of different characters (problem 7).
 
 The skeleton of a text is its decomposition with every character replaced by its prototype from
-the look-alike table and decomposed again; texts that look the same have one skeleton, and
-originals are grouped by it. The comparable form of a text keeps what its language needs: letters
-are only exchanged inside a word whose other letters are of another script, joiners stay inside
-Persian words, typographic quotes, dashes and signs such as ½ stay.
+the look-alike table and decomposed again; texts that look the same have one skeleton. The table is
+Unicode's list of confusable characters, which Spark's own ICU library holds (``look_alikes``). All
+originals are grouped by skeleton, and each group has a usual form. An original that the skeleton changes and
+that differs from the usual form is a case.
+
+What a language needs is no case: the forms of a group are its originals in the comparable form, in which
+letters are only exchanged inside a word whose other letters are of another script, joiners stay inside
+Persian words, and typographic quotes, dashes and signs such as ½ stay.
 """
 
 from __future__ import annotations
@@ -17,11 +21,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from refrain.io import load
+from refrain.io import cut, load
 from refrain.llm import mojibake
-from refrain.skew import spread_join
+from refrain.skew import hot_keys, spread_join
 
 SOURCES = (("candidates", "candidate_id", "title"), ("tracks", "track_id", "current_title"), ("tracks", "track_id", "filename"))
 # Letters that look like Latin ones, and the Latin prototype of each.
@@ -54,13 +57,32 @@ def _plain(c: str) -> str:
     return c
 
 
-def skeleton(text: str | None) -> str | None:
+def look_alikes(spark: SparkSession) -> dict[str, str]:
+    """The prototype of every character beyond ASCII that looks like others: the ASCII character of its kind, else what Unicode's table has.
+
+    Read from ICU in one call on the driver; a fixed table, whatever the data's size.
+    """
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    chars = [c for c in map(chr, (*range(0x20, 0xD800), *range(0xF900, 0x30000))) if unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc")]
+    prototypes = dict(zip(chars, checker.getSkeleton("\n".join(chars)).split("\n")))
+    ascii_of: dict[str, list[str]] = {}
+    for c in map(chr, range(0x20, 0x7F)):
+        ascii_of.setdefault(prototypes[c], []).append(c)
+    kind = lambda c: (c.isalpha(), c.isupper(), c.isdigit())
+    table = {}
+    for c, p in prototypes.items():
+        if c > "\x7f" and p != unicodedata.normalize("NFD", c):
+            table[c] = next((x for x in ascii_of.get(p, ()) if kind(x) == kind(c)), p)
+    return table | _TO_LATIN
+
+
+def skeleton(text: str | None, table: dict[str, str]) -> str | None:
     """Decomposed, each character by its prototype, decomposed again; marks that show nothing are left out. Null gives null."""
-    if text is None:
-        return None
+    if text is None or text.isascii():
+        return text if text is None else " ".join(text.split())
     first = unicodedata.normalize("NFD", text)
-    swapped = "".join(_TO_LATIN.get(c) or PERSIAN.get(c) or _plain(c) for c in first if unicodedata.category(c) != "Cf")
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFD", swapped)).strip()
+    swapped = "".join(table.get(c) or _plain(c) for c in first if unicodedata.category(c) != "Cf")
+    return " ".join(unicodedata.normalize("NFD", swapped).split())
 
 
 def _one_script(word: str, lexicon: frozenset[str]) -> str:
@@ -113,33 +135,6 @@ def comparable(text: str | None, lexicon: frozenset[str] = frozenset()) -> str |
     return _WORD.sub(lambda m: _one_script(m.group(0), lexicon), plain)
 
 
-@F.pandas_udf(T.StringType())
-def skeleton_of(text: pd.Series) -> pd.Series:
-    """Column form of skeleton()."""
-    return text.map(skeleton)
-
-
-def normalise(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
-    """(value, form, damaged) for each distinct non-ASCII ``value`` whose comparable form differs from it.
-
-    Nulls and ASCII values never differ. ``damaged`` tells values that are wrongly decoded text.
-    """
-    shared = values.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for b in batches:
-            rows = []
-            for v in b["value"]:
-                if (form := comparable(v, known)) != v:
-                    _, path, gain = mojibake.search(v, known)
-                    rows.append((v, form, bool(path) and gain >= mojibake.MARGIN or mojibake.lost(v)))
-            yield pd.DataFrame(rows, columns=["value", "form", "damaged"])
-
-    distinct = values.select("value").where(F.col("value").isNotNull() & F.col("value").rlike(r"[^\x00-\x7f]")).distinct()
-    return distinct.mapInPandas(run, "value string, form string, damaged boolean")
-
-
 def _letters(text: str) -> list[str]:
     """The characters of ``text`` decomposed, each by its Latin prototype if it has one."""
     return [_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", text)]
@@ -150,82 +145,92 @@ def _n_scripts(text: str) -> int:
     return len({_script(c) for c in text if c.isalpha()} & {"LATIN", "CYRILLIC", "GREEK"})
 
 
-def unusual(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
-    """(value) of non-ASCII values whose comparable form differs from their skeleton group's usual form by look-alike letters.
+_FOREIGN = r"[^\x00-\x7f]"
+
+
+def originals(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+    """(value, n, skeleton, form, scripts, changed) of each distinct ``value`` with its rows ``n``; null values are left out.
 
-    ``values``: value, n. These are words made wholly of look-alikes, which only an original of the group tells. The usual form
-    is the one of fewest scripts, then of most rows. A group needs a Cyrillic or Greek member. Forms that
-    differ by joiners or by Persian letters are left to comparable().
+    ``form``: the comparable form; ``changed``: whether the skeleton differs from the value, or the value is not
+    composed as usual. ASCII values are their own form and never changed.
     """
-    shared = values.sparkSession.sparkContext.broadcast(lexicon)
+    spark = values.sparkSession
+    shared = spark.sparkContext.broadcast((lexicon, look_alikes(spark)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known, table = shared.value
         for b in batches:
             rows = []
             for v, n in zip(b["value"], b["n"]):
-                form = comparable(v, known)
-                rows.append((v, form, skeleton(form), _n_scripts(form), n))
-            yield pd.DataFrame(rows, columns=["value", "form", "skeleton", "scripts", "n"])
-
-    @F.pandas_udf("boolean")
-    def alike(form: pd.Series, usual: pd.Series) -> pd.Series:
-        return pd.Series([_letters(x) == _letters(y) for x, y in zip(form, usual)], dtype=bool)
-
-    @F.pandas_udf("boolean")
-    def sound(value: pd.Series) -> pd.Series:
-        known, out = shared.value, []
-        for v in value:
-            _, path, gain = mojibake.search(v, known)
-            out.append(not (path and gain >= mojibake.MARGIN or mojibake.lost(v)))
-        return pd.Series(out, dtype=bool)
-
-    foreign = F.col("value").rlike(r"[^\x00-\x7f]")
-    other = values.where(foreign).mapInPandas(run, "value string, form string, skeleton string, scripts int, n long")
-    plain = values.where(~foreign).select("value", F.col("value").alias("form"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("skeleton"), F.when(F.col("value").rlike("[A-Za-z]"), 1).otherwise(0).alias("scripts"), "n")
-    every = other.unionByName(plain)
-    mixed = other.where(F.col("form").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")).select("skeleton").distinct()
-    held = every.join(mixed, "skeleton", "left_semi")
-    counted = held.groupBy("skeleton", "form", "scripts").agg(F.sum("n").alias("n"))
+                form, bones = comparable(v, known), skeleton(v, table)
+                rows.append((v, n, bones, form, _n_scripts(form), v != unicodedata.normalize("NFC", v) or v != bones))
+            yield pd.DataFrame(rows, columns=["value", "n", "skeleton", "form", "scripts", "changed"])
+
+    values = values.where(F.col("value").isNotNull())
+    other = values.where(F.col("value").rlike(_FOREIGN)).select("value", "n").mapInPandas(run, "value string, n long, skeleton string, form string, scripts int, changed boolean")
+    plain = values.where(~F.col("value").rlike(_FOREIGN))
+    plain = plain.select("value", "n", F.trim(F.regexp_replace("value", r"\s+", " ")).alias("skeleton"), F.col("value").alias("form"), F.when(F.col("value").rlike("[A-Za-z]"), 1).otherwise(0).alias("scripts"), F.lit(False).alias("changed"))
+    return other.unionByName(plain)
+
+
+def cases(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+    """(value, form, skeleton) of the originals that their skeleton group tells to be made of other characters.
+
+    ``values``: value, n. The usual form of a group is the comparable form of fewest scripts, then of most rows. An original
+    whose skeleton changes it and that is not written in the usual form is a case; from forms that differ by more than look-alike
+    letters (joiners, quotes, Persian letters) its own comparable form counts instead. Wrongly decoded text is none.
+    """
+    shared = values.sparkSession.sparkContext.broadcast(lexicon)
+    every = cut(originals(values, lexicon))
+    # words made wholly of look-alikes: only groups with a Cyrillic or Greek member have more than one form by letters
+    mixed = every.where("changed").where(F.col("form").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")).select("skeleton").distinct()
+    counted = every.join(mixed, "skeleton", "left_semi").groupBy("skeleton", "form", "scripts").agg(F.sum("n").alias("n"))
     usual = counted.groupBy("skeleton").agg(F.min(F.struct("scripts", (-F.col("n")).alias("n"), "form")).alias("u"), F.count("*").alias("k")).where("k > 1").select("skeleton", F.col("u.form").alias("usual"))
-    odd = held.where(foreign).join(usual, "skeleton").where(F.col("form") != F.col("usual"))
-    return odd.where(alike("form", "usual")).where(sound("value")).select("value").distinct()
+    held = every.where("changed").join(usual, "skeleton", "left").where((F.col("value") != F.col("form")) | (F.col("form") != F.col("usual")))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            rows = []
+            for v, form, bones, u in zip(b["value"], b["form"], b["skeleton"], b["usual"]):
+                meant = u if u is not None and _letters(form) == _letters(u) else form
+                if meant != v:
+                    _, path, gain = mojibake.search(v, known)
+                    if not (path and gain >= mojibake.MARGIN or mojibake.lost(v)):
+                        rows.append((v, meant, bones))
+            yield pd.DataFrame(rows, columns=["value", "form", "skeleton"])
 
-def counts_of(spark: SparkSession, folder: str) -> DataFrame:
-    """(value, n): the distinct values of the three fields, ASCII ones too, with their rows."""
-    parts = [load(spark, folder, table).select(F.col(field).alias("value")) for table, _, field in SOURCES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+    return held.select("value", "form", "skeleton", "usual").mapInPandas(run, "value string, form string, skeleton string")
 
 
 def fields_of(spark: SparkSession, folder: str) -> DataFrame:
-    """(src, row_id, field, value) of the fields that problem 7 names; non-ASCII values only, as no other can be a case."""
-    parts = []
-    for table, key, field in SOURCES:
-        rows = load(spark, folder, table).select(F.lit(table).alias("src"), F.col(key).alias("row_id"), F.lit(field).alias("field"), F.col(field).alias("value"))
-        parts.append(rows.where(F.col("value").rlike(r"[^\x00-\x7f]")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(src, row_id, field, value) of the fields that problem 7 names."""
+    parts = [load(spark, folder, table).select(F.lit(table).alias("src"), F.col(key).alias("row_id"), F.lit(field).alias("field"), F.col(field).alias("value")) for table, key, field in SOURCES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("value").isNotNull())
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _lexicon(spark: SparkSession, folder: str) -> frozenset[str]:
+    return mojibake.learn_lexicon(load(spark, folder, "candidates").select(F.col("title").alias("text")))
 
 
 def forms(spark: SparkSession, folder: str) -> DataFrame:
     """p7_forms: every case with its stored value, the comparable form and the skeleton."""
     rows = fields_of(spark, folder)
-    lexicon = mojibake.learn_lexicon(load(spark, folder, "candidates").select(F.col("title").alias("text")))
-    changed = normalise(rows, lexicon).where(~F.col("damaged")).select("value", "form")
-    return spread_join(rows, changed, ["value"], ["src", "row_id", "field"]).distinct().select("src", "row_id", "field", "value", "form", skeleton_of("form").alias("skeleton"))
+    told = cases(_counts(rows), _lexicon(spark, folder))
+    rows = rows.where(F.col("value").rlike(_FOREIGN))  # no ASCII value is a case
+    return spread_join(rows, told, ["value"], ["src", "row_id", "field"], hot=hot_keys(rows, ["value"])).distinct().select("src", "row_id", "field", "value", "form", "skeleton")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_found: every value that looks usual but is made of other characters: by its own words, or by its skeleton's originals."""
-    rows = fields_of(spark, folder)
-    lexicon = mojibake.learn_lexicon(load(spark, folder, "candidates").select(F.col("title").alias("text")))
-    changed = normalise(rows, lexicon).where(~F.col("damaged")).select("value").unionByName(unusual(counts_of(spark, folder), lexicon)).distinct()
-    return spread_join(rows, changed, ["value"], ["src", "row_id", "field"]).select("src", "row_id", "field").distinct()
+    """p7_found: every value that looks usual but is made of other characters."""
+    return forms(spark, folder).select("src", "row_id", "field").distinct()
 
 
 def groups(spark: SparkSession, folder: str) -> DataFrame:
     """p7_groups: skeletons that more than one distinct original of the three fields has, with the number of originals and of rows."""
-    parts = [load(spark, folder, table).select(F.lit(field).alias("field"), F.col(key).alias("row_id"), F.col(field).alias("value")) for table, key, field in SOURCES]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("value").isNotNull()).distinct()
-    originals = rows.groupBy("value").agg(F.count("*").alias("n"))
-    return originals.withColumn("skeleton", skeleton_of("value")).groupBy("skeleton").agg(F.count("*").alias("n_originals"), F.sum("n").alias("n_rows")).where("n_originals > 1")
+    every = originals(_counts(fields_of(spark, folder).distinct()), _lexicon(spark, folder))
+    return every.groupBy("skeleton").agg(F.count("*").alias("n_originals"), F.sum("n").alias("n_rows")).where("n_originals > 1")
