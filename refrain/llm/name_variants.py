@@ -2,10 +2,14 @@
 
 Every stored value is read as tokens without case, accents, script, order, articles and joining
 words; nicknames and trade abbreviations become their formal words. Values with equal tokens are one
-node. A symmetric-delete index on the tokens finds nodes that differ by one edit in one token:
-nodes meet under a key made of the other tokens and the token less one character. Names with an initial
-or a shortened given name meet full names under the initial and the surname. The pairs met are
-verified by an optimal assignment of their tokens, and the connected nodes are one entity.
+node. A symmetric-delete index on the tokens finds nodes that are one edit apart in one token: a token
+less one character meets that token itself (an added letter) and, where the same place was left out, other tokens
+(a changed letter); two neighbours in either order meet too (a swap). Nodes that meet all under one key are one
+edit apart, so each is linked to the key's most frequent node and no link is lost. Names with an initial or a shortened
+given name meet full names under the initial and the other tokens less a character.
+
+Every pair that meets is verified by an optimal assignment of its tokens, which permits one edit and one
+initial or abbreviation; the connected nodes are one entity.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refrain.io import cut, load
 from refrain.llm import mojibake
 from refrain.operators.packed_fields import dialects
-from refrain.skew import spread_join
 
 # Short forms of given names, by formal name.
 NICKNAMES = {
@@ -32,7 +37,7 @@ NICKNAMES = {
     "Gabriela": "Gabi Gabby Ela", "Ingrid": "Inga Inge", "Isabella": "Bella Isa Izzy", "Jonathan": "Jon Johnny Jonny Nathan", "Josephine": "Jo Josie Josefine", "Katherine": "Kate Kathy Katie Kat Kitty", "Leonard": "Leo Len Lenny",
     "Ludmila": "Mila Luda Lyuda", "Margaret": "Peg Maggie Meg Peggy Greta", "Matthias": "Hias Matze Matt Mattias", "Maximilian": "Max Maxi", "Nikolai": "Nick Kolya Nik Niko", "Olga": "Olya Olja", "Oskar": "Ossi Ossie Oscar", "Philippa": "Pippa Pip",
     "Rebecca": "Becky Becca", "Robert": "Bob Rob Bobby Robbie Bert", "Samuel": "Sam Sammy", "Susanna": "Sue Susi Susie Susan", "Theodore": "Theo Ted Teddy", "Valentina": "Tina Valya Val", "Viktor": "Vitya Vic Vik", "Wilhelmina": "Mina Billie Minna Willa",
-    "William": "Will Bill Billy Willy Liam", "Yasmin": "Yas Yasi", "Kenji": "Ken", "Hamid": "", "Bruno": "", "Paloma": "", "Rui": "", "Tamar": "", "Zora": "",
+    "William": "Will Bill Billy Willy Liam", "Yasmin": "Yas Yasi", "Kenji": "Ken",
 }
 # Abbreviations of the trade, values that name no artist, and letters that do not decompose.
 ABBREVIATIONS = {"coll": "collective", "cho": "choir", "ens": "ensemble", "orch": "orchestra", "bros": "brothers", "qrt": "quartet", "qt": "quartet", "bb": "brass band", "3": "trio", "soundsystem": "sound system", "brassband": "brass band"}
@@ -91,8 +96,9 @@ def read(value: str | None) -> tuple[str, list[str], str] | None:
             full.append(_FORMAL.get(f, f))
     if not full:
         return None
-    if len(full) == 1 and short:
-        return "I", full, short[0]
+    first = found[0].rstrip(".")
+    if short and (len(full) == 1 or fold(first) == short[0] and first.lower() not in _CONNECT):
+        return "I", sorted(full), short[0]
     return "F", sorted(full), ""
 
 
@@ -114,110 +120,163 @@ def one_apart(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
-def assigned(a: list[str], b: list[str]) -> bool:
-    """Whether an assignment of tokens leaves at most one pair that is not equal, and that one edit apart."""
-    if len(a) != len(b):
+def _token_cost(a: str, b: str, short_a: bool, short_b: bool) -> tuple[int, int] | None:
+    """(edits, shortenings) that make two tokens one; None if nothing does."""
+    if a == b:
+        return 0, 0
+    if short_a and b.startswith(a) or short_b and a.startswith(b):
+        return 0, 1
+    near = one_apart(a, b) or one_apart(a.replace("ks", "x"), b.replace("ks", "x"))
+    return (1, 0) if near and not short_a and not short_b else None
+
+
+def assigned(a: list[str], b: list[str], given_a: str = "", given_b: str = "") -> bool:
+    """Whether the cheapest assignment of all tokens needs at most one edit and one initial or abbreviation.
+
+    ``given_a``, ``given_b``: a shortened given name, which stands for any token that begins with it.
+    Equal tokens are assigned to each other first, which never costs more.
+    """
+    left = [(t, False) for t in a] + ([(given_a, True)] if given_a else [])
+    right = [(t, False) for t in b] + ([(given_b, True)] if given_b else [])
+    if len(left) != len(right):
+        return False
+    for t in list(left):
+        if t in right:
+            left.remove(t)
+            right.remove(t)
+    if len(left) > 2:  # more than one edit and one shortening
         return False
-    rest_a, rest_b = list(a), list(b)
-    for t in a:
-        if t in rest_b:
-            rest_a.remove(t)
-            rest_b.remove(t)
-    return len(rest_a) <= 1 and all(any(one_apart(x, y) for x, y in zip(rest_a, p)) for p in itertools.permutations(rest_b)) if rest_a else True
+    for order in itertools.permutations(right):
+        costs = [_token_cost(x, y, sx, sy) for (x, sx), (y, sy) in zip(left, order)]
+        if None not in costs and sum(c[0] for c in costs) <= 1 and sum(c[1] for c in costs) <= 1:
+            return True
+    return False
 
 
 def nodes_of(values: DataFrame) -> DataFrame:
-    """(value, kind, node, tokens, given) of each distinct ``value`` that names someone."""
+    """(value, n_rows, kind, node, given, id) of each ``value`` that names someone; ``node`` is kind, given and the tokens, ``id`` its hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(v, r[0], "|".join([r[0], r[2], *r[1]]), r[1], r[2]) for v in b["value"] if (r := read(v))]
-            yield pd.DataFrame(rows, columns=["value", "kind", "node", "tokens", "given"])
+            rows = [(v, n, r[0], "|".join([r[0], r[2], *r[1]]), r[2]) for v, n in zip(b["value"], b["n_rows"]) if (r := read(v))]
+            yield pd.DataFrame(rows, columns=["value", "n_rows", "kind", "node", "given"])
+
+    out = values.groupBy("value").agg(F.sum("n_rows").alias("n_rows")).mapInPandas(run, "value string, n_rows long, kind string, node string, given string")
+    return out.withColumn("id", F.xxhash64("node"))
+
 
-    return values.select("value").distinct().mapInPandas(run, "value string, kind string, node string, tokens array<string>, given string")
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+
+
+def _token_keys(rest: str, t: str) -> Iterator[tuple[str, int]]:
+    if len(t) >= EDITABLE - 1:
+        yield "o", _hash(rest, t)
+    if len(t) >= EDITABLE:
+        for at in range(len(t)):
+            yield "g", _hash(rest, "*", t[:at], t[at + 1 :])
+            if not at or t[at] != t[at - 1]:
+                yield "d", _hash(rest, t[:at] + t[at + 1 :])
+                if at:
+                    yield "g", _hash(rest, "x", t[: at - 1], *sorted(t[at - 1 : at + 1]), t[at + 1 :])
+
+
+def keys_of(tokens: list[str], given: str) -> Iterator[tuple[str, int]]:
+    """(kind of key, key) of a node: ``g`` for groups whose members are all one edit apart, ``d`` for a token less a character, ``o`` for a whole token."""
+    for i, token in enumerate(tokens):
+        rest = "|".join([given, *tokens[:i], *tokens[i + 1 :]])
+        for t in {token, token.replace("ks", "x")}:  # as written with one letter or two
+            yield from _token_keys(rest, t)
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    """(key, node, token) of the symmetric-delete index of full names: all other tokens and one token less at most one character."""
+    """(kind, key, id, n_rows) of the symmetric-delete index of all nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for node, given, tokens in zip(b["node"], b["given"], b["tokens"]):
-                tokens = list(tokens)
-                for i, t in enumerate(tokens):
-                    rest = "|".join([given, *tokens[:i], *tokens[i + 1 :]])
-                    rows.extend((f"{rest}|{d}", node, t) for d in deletions(t))
-            yield pd.DataFrame(rows, columns=["key", "node", "token"])
+            rows = [(k, key, i, n) for node, i, n in zip(b["node"], b["id"], b["n_rows"]) for k, key in keys_of(node.split("|")[2:], node.split("|")[1])]
+            yield pd.DataFrame(rows, columns=["kind", "key", "id", "n_rows"])
 
-    out = nodes.select("node", "given", "tokens").mapInPandas(run, "key string, node string, token string")
-    return out.select(F.xxhash64("key").alias("key"), "node", "token")
+    return nodes.select("node", "id", "n_rows").repartition("id").mapInPandas(run, "kind string, key long, id long, n_rows long")
 
 
-def _one_apart(a: Column, b: Column) -> Column:
-    d = F.levenshtein(a, b)
-    return (d <= 1) | ((d == 2) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))) & (F.length(a) == F.length(b)))
+@F.pandas_udf(T.BooleanType())
+def _assigned(a: pd.Series, b: pd.Series) -> pd.Series:
+    """assigned() of two nodes."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = x.split("|"), y.split("|")
+        out.append(assigned(x[2:], y[2:], x[1], y[1]))
+    return pd.Series(out, dtype=bool)
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes one edit apart in one token; under each key every node is linked to the key's most frequent one, not to all."""
+    """(a, b): ids of nodes that are one edit apart in one token, as far as they are needed to connect all that are."""
     index = cut(_index(nodes))
-    weight = nodes.select("node", "n_rows")
-    hubs = index.join(weight, "node").groupBy("key").agg(F.max(F.struct("n_rows", "node", "token")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    met = index.join(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.token").alias("hub_token")), "key").where(F.col("node") != F.col("hub"))
-    return met.where(_one_apart(F.col("token"), F.col("hub_token"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected nodes: least labels spread and pointers jump until nothing changes; lineage is cut each round."""
+    together = index.where("kind = 'g'")
+    hubs = together.groupBy("key").agg(F.max(F.struct("n_rows", "id")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.id").alias("b"))
+    met = together.join(hubs, "key").select(F.col("id").alias("a"), "b")
+    less = index.where("kind = 'd'").join(index.where("kind = 'o'").select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
+    pairs = met.unionByName(less).where("a <> b").distinct()
+    names = nodes.select("id", "node")
+    both = pairs.join(names.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
+    return both.where(_assigned("x", "y")).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of all nodes with an edge: least labels spread and pointers jump until nothing changes; lineage is cut each round."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("node").distinct().withColumn("root", F.col("node")))
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("to"))
-        jump = step.join(labels.select(F.col("node").alias("to"), F.col("root").alias("then")), "to").select("node", F.col("root").alias("was"), F.least("to", "then").alias("root"))
-        jump = cut(jump)
-        changed = jump.where(F.col("was") != F.col("root")).limit(1).count()
-        labels = jump.select("node", "root")
-        if not changed:
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "near").alias("to"))
+        jump = cut(step.join(labels.select(F.col("id").alias("to"), F.col("root").alias("then")), "to").select("id", F.col("root").alias("was"), F.least("to", "then").alias("root")))
+        labels = jump.select("id", "root")
+        if jump.where(F.col("was") != F.col("root")).isEmpty():
             return labels
 
 
 def attach(shorts: DataFrame, fulls: DataFrame) -> DataFrame:
-    """(node, root) of names with a shortened given name: the entity of the one full name they fit, the most frequent if several do.
+    """(id, root) of names with a shortened given name: the entity of the one full name they fit, the most frequent if several do.
 
-    ``shorts``: node, given, surname; ``fulls``: tokens, root, n_rows of names of two tokens. A surname that
-    is equal goes before one that is one edit apart.
+    Both have node, id, root and n_rows. Other tokens that are equal go before such that are one edit apart.
     """
 
-    @F.pandas_udf("array<string>")
-    def less(token: pd.Series) -> pd.Series:
-        return token.map(deletions)
-
-    t = F.col("tokens")
-    sides = F.explode(F.array(F.struct(t[0].alias("first"), t[1].alias("last")), F.struct(t[1].alias("first"), t[0].alias("last")))).alias("s")
-    full = fulls.where(F.size("tokens") == 2).select("root", "n_rows", sides).select("root", "n_rows", "s.first", "s.last").groupBy("root", "first", "last").agg(F.sum("n_rows").alias("n_rows"))
-    full = full.withColumn("key", F.explode(less("last"))).withColumn("initial", F.substring("first", 1, 1))
-    short = shorts.withColumn("key", F.explode(less("surname"))).withColumn("initial", F.substring("given", 1, 1))
-    met = short.join(full, ["initial", "key"]).where(F.col("first").startswith(F.col("given")) & _one_apart(F.col("surname"), F.col("last")))
-    ranked = met.select("node", "root", (F.col("surname") == F.col("last")).cast("int").alias("same"), "n_rows").distinct()
-    by_root = ranked.groupBy("node", "root").agg(F.max("same").alias("same"), F.sum("n_rows").alias("n_rows"))
-    return by_root.groupBy("node").agg(F.max(F.struct("same", "n_rows", "root")).alias("b")).select("node", F.col("b.root").alias("root"))
+    def keys(short: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for node, root, i, n in zip(b["node"], b["root"], b["id"], b["n_rows"]):
+                    _, given, *tokens = node.split("|")
+                    firsts = [(given, tokens)] if short else [(t, tokens[:k] + tokens[k + 1 :]) for k, t in enumerate(tokens)] if len(tokens) > 1 else []
+                    for first, rest in firsts:
+                        met = {_hash(first[:1], *rest[:k], d, *rest[k + 1 :]) for k, t in enumerate(rest) for d in deletions(t)}
+                        rows.extend((k, node, "|".join(rest), root, i, n) for k in met)
+                yield pd.DataFrame(rows, columns=["key", "node", "rest", "root", "id", "n_rows"])
+
+        return run
+
+    shape = "key long, node string, rest string, root long, id long, n_rows long"
+    full = fulls.select("node", "root", "id", "n_rows").mapInPandas(keys(False), shape).select("key", F.col("node").alias("full"), F.col("rest").alias("full_rest"), F.col("root").alias("full_root"), F.col("id").alias("full_id"), F.col("n_rows").alias("full_rows"))
+    short = shorts.select("node", "root", "id", "n_rows").mapInPandas(keys(True), shape)
+    met = short.join(full, "key").select("id", "node", "full", "full_root", "full_id", "full_rows", (F.col("rest") == F.col("full_rest")).cast("int").alias("same"))
+    each = met.groupBy("id", "node", "full", "full_root", "full_id", "full_rows").agg(F.max("same").alias("same")).where(_assigned("node", "full"))
+    by_root = each.groupBy("id", "full_root").agg(F.max("same").alias("same"), F.sum("full_rows").alias("n_rows"))
+    return by_root.groupBy("id").agg(F.max(F.struct("same", "n_rows", "full_root")).alias("b")).select("id", F.col("b.full_root").alias("full_root"))
 
 
 def entities(values: DataFrame) -> DataFrame:
     """(value, entity) of each distinct ``value`` (with its ``n_rows``) that names someone; nulls, blanks and placeholders give no row."""
-    named = cut(nodes_of(values).join(values.groupBy("value").agg(F.sum("n_rows").alias("n_rows")), "value"))
-    nodes = named.groupBy("node", "kind", "given").agg(F.first("tokens").alias("tokens"), F.sum("n_rows").alias("n_rows"))
-    linked = components(nodes, edges_of(nodes))
-    fulls = nodes.where("kind = 'F'").join(linked, "node")
-    shorts = nodes.where("kind = 'I'").join(linked, "node").select("node", "root", "given", F.col("tokens")[0].alias("surname"))
-    found = attach(shorts.select("node", "given", "surname"), fulls).withColumnRenamed("root", "full_root")
+    named = cut(nodes_of(values))
+    nodes = cut(named.groupBy("id", "kind", "node").agg(F.sum("n_rows").alias("n_rows")))
+    linked = cut(nodes.join(components(edges_of(nodes)), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    fulls, shorts = linked.where("kind = 'F'"), linked.where("kind = 'I'")
+    placed = cut(shorts.join(attach(shorts, fulls), "id", "left"))
     # shortened names that are linked to each other go where the first of them goes that fits a full name
-    own = shorts.select("node", "root").join(found, "node", "left").groupBy("root").agg(F.min("full_root").alias("group_root"))
-    placed = shorts.select("node", "root").join(found, "node", "left").join(own, "root").select("node", F.coalesce("full_root", "group_root", "root").alias("entity"))
-    all_nodes = fulls.select("node", F.col("root").alias("entity")).unionByName(placed)
-    return named.select("value", "node").join(all_nodes, "node").select("value", "entity")
+    own = placed.groupBy("root").agg(F.min("full_root").alias("group_root"))
+    entity = F.coalesce("full_root", "group_root", "root")
+    all_nodes = fulls.select("id", F.col("root").alias("entity")).unionByName(placed.join(own, "root").select("id", entity.alias("entity")))
+    return named.select("value", "id").join(all_nodes, "id").select("value", "entity")
 
 
 def stored_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,9 +54,17 @@ def test_damaged_rows(spark):
 
 
 @pytest.mark.parametrize("a, b", [("Ｓｔｉｌｌ", "Still"), ("Lu​mière", "Lumière"), ("Café́".replace("é", "e"), "Café"), ("a\xa0b", "a b"), ("Shadоws", "Shadows"), ("Νight", "Night"), ("ﬁre", "fire"), ("Зимa", "Зима"), ("K", "K"), ("آينه زیبا", "آینه زیبا")])
-def test_lookalikes(a, b):
+def test_lookalikes(spark, a, b):
+    table = lookalikes.look_alikes(spark)
     assert lookalikes.comparable(a, frozenset({"зима"})) == b
-    assert lookalikes.skeleton(a) == lookalikes.skeleton(b)
+    assert lookalikes.skeleton(a, table) == lookalikes.skeleton(b, table)
+
+
+def test_the_table_is_unicodes(spark):
+    table = lookalikes.look_alikes(spark)
+    assert len(table) > 2000 and not any(c.isascii() for c in table)
+    assert (table["а"], table["Ν"], table["ԁ"], table["ｅ"]) == ("a", "N", "d", "e")
+    assert lookalikes.skeleton(None, table) is None and lookalikes.skeleton("", table) == "" and lookalikes.skeleton("a  b", table) == "a b"
 
 
 @pytest.mark.parametrize("text", ["می‌روم", "Don’t – “x”", "½", "Зима Night", "Ωmega II".replace("Ω", "O"), "日本", "", None, "Última", "Пристаeь"])
@@ -65,9 +73,9 @@ def test_what_a_language_needs_stays(text):
 
 
 def test_lookalike_rows(spark):
-    v = spark.createDataFrame([("Shadоws",), ("Shadоws",), ("plain",), (None,), ("KÃ¼che\xa0x",)], "value string")
-    got = [(r["value"], r["form"], r["damaged"]) for r in lookalikes.normalise(v, LEXICON).collect()]
-    assert ("Shadоws", "Shadows", False) in got and len([g for g in got if not g[2]]) == 1
+    v = spark.createDataFrame([("Shadоws", 2, "x"), ("plain", 1, "x"), (None, 1, "x"), ("", 1, "x"), ("KÃ¼che\xa0x", 1, "x"), ("Shadows", 1, "x")], "value string, n long, skeleton string")
+    assert [(r["value"], r["form"], r["skeleton"]) for r in lookalikes.cases(v, LEXICON).collect()] == [("Shadоws", "Shadows", "Shadows")]
+    assert lookalikes.cases(v.limit(0), LEXICON).count() == 0
 
 
 def test_names(spark):
@@ -93,6 +101,31 @@ def test_one_apart_against_brute_force():
         if name_variants.one_apart(a, b):
             assert set(name_variants.deletions(a)) & set(name_variants.deletions(b))
     assert name_variants.assigned(["ann", "stone"], ["stoen", "ann"]) and not name_variants.assigned(["anna", "stone"], ["annb", "stonf"])
+    assert name_variants.assigned(["stoen"], ["ann", "stone"], "a") and not name_variants.assigned(["stone"], ["bea", "stone"], "a") and not name_variants.assigned(["stone"], ["stone"], "a")
+
+
+def test_index_connects_all_that_are_one_apart(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abx") for _ in range(rng.randint(4, 6))) for _ in range(120)})
+    names = [f"{w} stone" for w in words] + ["stone Abba", "Aleaxnder Stone", "Alexander Stone"]
+    values = spark.createDataFrame([(n, 1) for n in names], "value string, n_rows long")
+    nodes = name_variants.nodes_of(values).groupBy("id", "node").agg({"n_rows": "sum"}).withColumnRenamed("sum(n_rows)", "n_rows")
+    edges = {tuple(sorted(r)) for r in name_variants.edges_of(nodes).collect()}
+    tokens = {r["id"]: r["node"].split("|")[2:] for r in nodes.collect()}
+    assert all(name_variants.assigned(tokens[a], tokens[b]) for a, b in edges)
+    roots = {i: i for i in tokens}
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a, b in edges:
+        roots[root(a)] = root(b)
+    for a in tokens:
+        for b in tokens:
+            if name_variants.assigned(tokens[a], tokens[b]):
+                assert root(a) == root(b), (tokens[a], tokens[b])
 
 
 def test_recordings(spark):
