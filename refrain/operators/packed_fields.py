@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.io import cut, load
-from refrain.skew import hot_keys, spread_join
+from refrain.skew import hot_keys, spread_join, spread_out
 
 FIELDS = ("artist", "composer", "release_secondary_types")
 #: Bits of announcing a value that is spelled out, of a character, of a shape that is not frequent, and of a cut.
@@ -263,7 +263,7 @@ def dialects(rows: DataFrame) -> DataFrame:
     codes = counted.select("code", (-F.log2(F.col("c") / (total + 1))).cast("float").alias("bits"))
 
     unsure = distinct.where(F.col("value").rlike("(?i)" + _MAYBE)).withColumn("id", _identity(F.col("field"), F.col("value")))
-    asked = _lookups(unsure.select("id", "field", "value"), most)
+    asked = _lookups(spread_out(unsure.select("id", "field", "value"), "id"), most)
     told = spread_join(asked, codes, ["code"], ["id"], salts=4).groupBy("id").agg(F.collect_list(F.struct("code", "bits")).alias("codes"))  # the parts of one value
     shared = rows.sparkSession.sparkContext.broadcast(shapes)
 

@@ -47,3 +47,10 @@ def spread_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by:
 def distinct_counts(frame: DataFrame, value: str | Column, name: str = "value") -> DataFrame:
     """Distinct non-null values with their row counts; summed before the shuffle, so hot values are harmless."""
     return frame.select((F.col(value) if isinstance(value, str) else value).alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n_rows"))
+
+
+def spread_out(frame: DataFrame, *columns: str) -> DataFrame:
+    """``frame`` in enough parts for slow work on each row: few small rows would else be merged into one or two tasks."""
+    spark = frame.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
+    return frame.repartition(parts, *columns)
