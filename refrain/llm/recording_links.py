@@ -1,12 +1,15 @@
 """Matching records of two sources without a common number (problem 3).
 
-Rules from strong to weak, each an exact join on a weaker combination of attributes: code and
+A cascade of rules from strong to weak, each an exact join on a weaker combination of attributes: code and
 title, title and artist, title and a part of the artist, title without one word and artist, code and
-artist. All rules' keys go through one shuffle with the rule in the key; a pair counts for the
-strongest rule that it fits. No records are taken out between the rules, as a recording may have several
-pairs. Every pair is verified on title, take, artist and length. Confidence is the precision
-of the rule over all pairs that fit it, those of stronger rules too, with add-one smoothing, on
-labels that the rule doesn't use: agreeing codes for rules without the code, agreeing lengths for the others.
+artist. Each pass joins only candidates that no pass before resolved: those that found a sheet are
+anti-joined out before the next. Every pair that meets is verified on title, take, artist and length. Sheets that describe
+one recording (it can be delivered under two numbers) are linked among themselves, and a candidate that
+found one of them has found all.
+
+Confidence is each rule's precision on labelled pairs, with add-one smoothing. For it every rule is run by itself, without anti-joins, on
+at most about ``LABELLED`` candidates whose code some sheet has, chosen by hash. The labels are what a rule does not
+use: agreeing codes for rules without the code, agreeing lengths for the others.
 
 Before the shuffle a Bloom filter of the sheets' keys drops keys that no sheet has. Its size is
 fixed (``BLOOM_BITS``), so what is broadcast does not grow; a full filter only drops less.
@@ -28,9 +31,12 @@ from pyspark.sql import functions as F
 from refrain.io import cut, load
 from refrain.llm.lookalikes import comparable
 from refrain.llm.name_variants import _CONNECT, _EXPANDED, _FORMAL, fold, one_apart, read
+from refrain.skew import hot_keys, spread_join
 
 #: Bits of the filter of the sheets' keys (2 MB), share of all title words from which a word is frequent, seconds by which lengths may differ.
 BLOOM_BITS, FREQUENT_SHARE, SECONDS = 1 << 24, 1e-4, 8.0
+#: Labelled candidates on which the precision of the rules is measured, about.
+LABELLED = 20_000
 #: Edits (a swap is two) beyond which two titles are never one.
 MOST_EDITS = 6
 RULES = {1: "code and title", 2: "title and artist", 3: "title and part of the artist", 4: "title but for a word and artist", 5: "code and artist"}
@@ -98,7 +104,7 @@ def title_of(title: str) -> tuple[tuple[str, ...], int]:
 
 @lru_cache(maxsize=20_000)
 def artist_of(artist: str) -> tuple[str, ...]:
-    """The first words of an artist credit, where its first artist stands: folded, short forms as formal words."""
+    """The words of an artist credit: folded, short forms as formal words."""
     out: list[str] = []
     for t in _NAME.findall(unicodedata.normalize("NFKC", artist)):
         low = t.rstrip(".").lower()
@@ -106,8 +112,6 @@ def artist_of(artist: str) -> tuple[str, ...]:
             continue
         f = fold(low)
         out.extend(_EXPANDED[f] if f in _EXPANDED and out else [_FORMAL.get(f, f)])
-        if len(out) >= 4:
-            break
     return tuple(out)
 
 
@@ -117,7 +121,7 @@ def _hash(*parts: str) -> int:
 
 def keys_of(code: str, words: tuple[str, ...], takes: int, artist: tuple[str, ...]) -> list[tuple[int, int]]:
     """(rule, key) of a record for every rule."""
-    title, take, own = "".join(words), str(takes), artist[:3]
+    title, take, own = "".join(words), str(takes), artist
     telling = [w for w in own if len(w) > 2 and w not in _GIVEN and w not in COMMON] or [w for w in own if len(w) > 2]
     out = []
     if code and title:
@@ -126,8 +130,8 @@ def keys_of(code: str, words: tuple[str, ...], takes: int, artist: tuple[str, ..
         out += [(5, _hash("5", code, w)) for w in telling]
     if title:
         out += [(2, _hash("2", title, take, w)) for w in telling]
-        for w in own:
-            out += [(3, _hash("3", title, take, w[0], x)) for v in own if v != w and len(v) > 2 for x in ("<" + v[:2], ">" + v[-2:])]
+        for i, w in enumerate(own):  # the parts of one name stand close to each other
+            out += [(3, _hash("3", title, take, w[0], x)) for v in own[max(0, i - 2) : i + 3] if v != w and len(v) > 2 for x in ("<" + v[:2], ">" + v[-2:])]
         if len(words) > 1:
             rests = {"|".join(words[:i] + words[i + 1 :]) for i in range(len(words))}
         else:
@@ -243,27 +247,32 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
 
 def candidate_hits(candidates: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(key, candidate_id, title, artist, code, length, distance) of the candidates' keys that the filter lets pass."""
+    """(candidate_id, title, artist, isrc, length, title_key, hits) of candidates with keys that the filter lets pass; ``hits``: their rules and keys."""
     shared = candidates.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.unpackbits(shared.value).view(bool)
         for b in batches:
             rows, keys = [], []
-            for i, title, artist, code, length, distance in zip(b["candidate_id"], b["title"], b["artist"], b["isrc"], b["duration_s"], b["duration_delta"]):
+            for i, title, artist, code, length in zip(b["candidate_id"], b["title"], b["artist"], b["isrc"], b["duration_s"]):
                 if not title or not artist or not title.strip() or not artist.strip():
                     continue
                 c = code_of(code)
                 words, takes = title_of(title)
-                for _, k in keys_of(c, words, takes, artist_of(artist)):
-                    keys.append(k)
-                    rows.append((k, i, title, artist, c, length, distance, "".join(words)))
+                own = keys_of(c, words, takes, artist_of(artist))
+                keys.extend(k for _, k in own)
+                rows.append((i, title, artist, c, length, "".join(words), own))
             k = np.array(keys, dtype=np.int64).view(np.uint64)
-            ok = table[(k % np.uint64(BLOOM_BITS)).astype(np.int64)] & table[((k >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)] if len(k) else []
-            yield pd.DataFrame([r for r, x in zip(rows, ok) if x], columns=["key", "candidate_id", "title", "artist", "isrc", "length", "distance", "title_key"])
+            ok = table[(k % np.uint64(BLOOM_BITS)).astype(np.int64)] & table[((k >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)] if len(k) else np.zeros(0, dtype=bool)
+            out, at = [], 0
+            for *known, own in rows:
+                if hits := [{"rule": r, "key": x} for (r, x), o in zip(own, ok[at : at + len(own)]) if o]:
+                    out.append((*known, hits))
+                at += len(own)
+            yield pd.DataFrame(out, columns=["candidate_id", "title", "artist", "isrc", "length", "title_key", "hits"])
 
-    c = candidates.select("candidate_id", "title", "artist", "isrc", "duration_s", "duration_delta").where(F.col("candidate_id").isNotNull() & F.col("title").isNotNull() & F.col("artist").isNotNull())
-    return c.mapInPandas(run, "key long, candidate_id long, title string, artist string, isrc string, length double, distance double, title_key string")
+    c = candidates.select("candidate_id", "title", "artist", "isrc", "duration_s").where(F.col("candidate_id").isNotNull() & F.col("title").isNotNull() & F.col("artist").isNotNull())
+    return c.mapInPandas(run, "candidate_id long, title string, artist string, isrc string, length double, title_key string, hits array<struct<rule: int, key: long>>")
 
 
 def likely(met: DataFrame) -> DataFrame:
@@ -289,22 +298,47 @@ def verified(met: DataFrame, frequent: frozenset[str]) -> DataFrame:
         return pd.Series(out)
 
     off = F.abs(F.col("length") - F.col("seconds"))
-    near = F.coalesce(off <= SECONDS, F.lit(True))  # a great distance may be one or the length itself, so it rejects nothing
+    near = F.coalesce(off <= SECONDS, F.lit(True))
     same_code = (F.col("isrc") != "") & (F.col("isrc") == F.col("code"))
     rows = met.withColumn("same_code", same_code).where(near)
     ok = rows.where(agree("title", "artist", "work_title", "performer", "same_code"))
-    return ok.select("candidate_id", "sheet_id", "rule", *[c for c in ("rules",) if c in met.columns], F.when((F.col("isrc") != "") & (F.col("code") != ""), F.col("same_code")).alias("code_says"), (off <= 4.0).alias("length_says"))
+    return ok.select("candidate_id", "sheet_id", F.when((F.col("isrc") != "") & (F.col("code") != ""), F.col("same_code")).alias("code_says"), (off <= 4.0).alias("length_says"))
+
+
+def met_by(open_: DataFrame, keys: DataFrame, rule: int) -> DataFrame:
+    """The pairs of ``open_`` and sheets that share a key of ``rule``, each once, without those that no verification would pass; hot keys are split."""
+    asked = open_.select("*", F.explode(F.filter("hits", lambda h: h["rule"] == rule)).alias("h")).select(*[c for c in open_.columns if c != "hits"], F.col("h.key").alias("key"))
+    met = spread_join(asked, keys.where(F.col("rule") == rule).drop("rule"), ["key"], ["candidate_id"], hot=hot_keys(asked, ["key"]))
+    return likely(met).dropDuplicates(["candidate_id", "sheet_id"])
 
 
 def twins(keys: DataFrame, frequent: frozenset[str]) -> DataFrame:
     """(sheet_id, twin) of sheets that describe one recording: one recording can be delivered under two numbers."""
-    other = keys.select("key", F.col("sheet_id").alias("candidate_id"), F.col("work_title").alias("title"), F.col("performer").alias("artist"), F.col("code").alias("isrc"), F.col("seconds").alias("length"), F.lit(None).cast("double").alias("distance"), F.col("work_key").alias("title_key"))
+    other = keys.where("rule <> 3").select("key", F.col("sheet_id").alias("candidate_id"), F.col("work_title").alias("title"), F.col("performer").alias("artist"), F.col("code").alias("isrc"), F.col("seconds").alias("length"), F.col("work_key").alias("title_key"))
     other = other.where(F.col("title").isNotNull() & F.col("artist").isNotNull() & ~F.col("artist").contains(","))
-    met = keys.where("rule <> 3").join(other, "key").where(F.col("sheet_id") != F.col("candidate_id"))
+    met = spread_join(other, keys.where("rule <> 3").drop("rule"), ["key"], ["candidate_id"], hot=hot_keys(other, ["key"])).where(F.col("sheet_id") != F.col("candidate_id"))
     pairs = verified(likely(met).dropDuplicates(["sheet_id", "candidate_id"]), frequent).select("sheet_id", F.col("candidate_id").alias("twin"))
     return pairs.unionByName(pairs.select(F.col("twin").alias("sheet_id"), F.col("sheet_id").alias("twin"))).distinct()
 
 
+def precision_of(candidates: DataFrame, keys: DataFrame, frequent: frozenset[str]) -> dict[int, float]:
+    """The precision of each rule on labelled candidates; candidates whose code some sheet has, about ``LABELLED`` of them by hash.
+
+    Rules 1 and 5 use the code, so agreeing lengths are their labels; for the others codes that agree, or
+    that differ where both have one. Add-one smoothing, so a rule without labels gets one half.
+    """
+    known = candidates.where(F.col("isrc") != "").join(keys.where(F.col("code") != "").select(F.col("code").alias("isrc")).distinct(), "isrc", "left_semi")
+    every = max(1, known.count() // LABELLED)
+    labelled = cut(known.where(F.pmod(F.xxhash64("candidate_id"), F.lit(every)) == 0))
+    parts = None
+    for rule in RULES:
+        says = F.col("length_says" if rule in (1, 5) else "code_says")
+        part = verified(met_by(labelled, keys, rule), frequent).select(F.lit(rule).alias("rule"), says.alias("says"))
+        parts = part if parts is None else parts.unionByName(part)
+    counts = {r[0]: (r[1], r[2]) for r in parts.groupBy("rule").agg(F.count(F.when(F.col("says"), 1)), F.count("says")).collect()}  # a row a rule
+    return {rule: (counts.get(rule, (0, 0))[0] + 1) / (counts.get(rule, (0, 0))[1] + 2) for rule in RULES}
+
+
 def links(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     """(candidate_id, sheet_id, rule, confidence) of all pairs of one recording.
 
@@ -313,18 +347,17 @@ def links(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     """
     frequent = frequent_words(candidates.select("title"))
     keys = cut(sheet_keys(sheets))
-    hits = candidate_hits(candidates, key_filter(keys))
-    met = likely(hits.join(keys, "key"))
-    first = met.groupBy("candidate_id", "sheet_id").agg(F.min(F.struct("rule", "title", "artist", "isrc", "length", "distance", "work_title", "performer", "code", "seconds")).alias("m"), F.collect_set("rule").alias("rules"))
-    pairs = cut(verified(first.select("candidate_id", "sheet_id", "rules", "m.*"), frequent))
-    # every pair that fits a rule is a label for it; a sheet's code only contradicts if the other source has it at all
-    known = pairs.groupBy("sheet_id").agg(F.max("code_says").alias("known"))
-    each = pairs.join(known, "sheet_id").select(F.explode("rules").alias("rule"), "code_says", "length_says", "known")
-    labelled = each.withColumn("says", F.when(F.col("rule").isin(1, 5), F.col("length_says")).when(F.col("known"), F.col("code_says")))
-    precision = labelled.groupBy("rule").agg(((F.count(F.when(F.col("says"), 1)) + 1) / (F.count("says") + 2)).alias("confidence"))
-    pairs = pairs.join(F.broadcast(precision), "rule")  # a row a rule
-    more = pairs.join(twins(keys, frequent), "sheet_id").select("candidate_id", F.col("twin").alias("sheet_id"), "rule", (F.col("confidence") * 0.9).alias("confidence"))
-    every = pairs.select("candidate_id", "sheet_id", "rule", "confidence").unionByName(more)
+    everyone = cut(candidate_hits(candidates, key_filter(keys)).distinct())
+    precision = precision_of(everyone, keys, frequent)
+    open_, pairs = everyone, None
+    for rule in RULES:
+        new = cut(verified(met_by(open_, keys, rule), frequent).select("candidate_id", "sheet_id", F.lit(rule).alias("rule"), F.lit(precision[rule]).alias("confidence")))
+        pairs = new if pairs is None else pairs.unionByName(new)
+        if rule != max(RULES):
+            open_ = cut(open_.join(new.select("candidate_id").distinct(), "candidate_id", "left_anti"))
+    both = twins(keys, frequent)
+    more = spread_join(pairs, both, ["sheet_id"], ["candidate_id"], hot=hot_keys(pairs, ["sheet_id"])).select("candidate_id", F.col("twin").alias("sheet_id"), "rule", (F.col("confidence") * 0.9).alias("confidence"))
+    every = pairs.unionByName(more)
     return every.groupBy("candidate_id", "sheet_id").agg(F.max(F.struct("confidence", "rule")).alias("b")).select("candidate_id", "sheet_id", F.col("b.rule").alias("rule"), F.round("b.confidence", 6).alias("confidence"))
 
 
