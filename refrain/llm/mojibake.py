@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.io import load
-from refrain.skew import spread_join
+from refrain.skew import spread_join, spread_out
 
 FIELDS = ("current_title", "current_artist", "current_album")
 #: Codecs by which text is wrongly read, and those in which it was written.
@@ -34,8 +34,6 @@ WRITTEN_AS = ("cp1252", "cp1250", "cp1251", "cp1254", "cp1256", "shift_jis")
 LEXICON_SHARE = 5e-5
 #: Cost of an operation, cost of a word that is not known, the gain from which a text counts as damaged.
 STEP, UNKNOWN, MARGIN = 1.5, 4.0, 1.4
-#: States that are opened for one text at most, and operations on one path.
-MOST_STATES, MOST_STEPS = 24, 3
 
 # Letters of other alphabets that look like Latin ones (they are not damage in a Latin word).
 LOOKALIKE = set("аеорсхуіѕјһԁԛԝАВЕЗКМНОРСТХІЅЈУ" "οανρυικχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "K")
@@ -246,20 +244,20 @@ def neighbours(text: str) -> Iterator[tuple[str, str]]:
 def search(text: str, lexicon: frozenset[str]) -> tuple[str, list[str], float]:
     """(cheapest text, operations to it, gain in cost) by best-first search from ``text``.
 
-    A state is opened only if it is cheaper than the state it came from, as each layer of damage
-    that is taken off makes a text more plausible.
+    An edge leads to a text only if that is cheaper than the one before, as each layer of damage that is taken off makes
+    a text more plausible. So paths end by themselves, and the search ends when no state
+    that is left can lead to a cheaper one; neither states nor steps are capped.
     """
     first = cost_of(text, lexicon)
     if first <= 0.5:
         return text, [], 0.0
     best = (first, text, [])
-    heap, seen, opened = [(first, 0, text, [])], {hash(text)}, 0
-    while heap and opened < MOST_STATES:
+    heap, seen = [(first, 0, text, [])], {hash(text)}
+    while heap:
         cost, depth, state, path = heapq.heappop(heap)
         raw = cost - STEP * depth
-        if depth == MOST_STEPS or raw <= 0.5 or raw + STEP * (depth + 1) - raw >= best[0]:
+        if raw <= 0.5 or STEP * (depth + 1) >= best[0]:  # no cost is below 0
             continue
-        opened += 1
         for name, new in neighbours(state):
             if (h := hash(new)) in seen:
                 continue
@@ -309,7 +307,7 @@ def restore(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["value", "restored", "operations", "gain", "damaged"])
 
     distinct = values.select("value").where(F.col("value").isNotNull() & maybe).distinct()
-    return distinct.mapInPandas(run, "value string, restored string, operations string, gain double, damaged boolean")
+    return spread_out(distinct, "value").mapInPandas(run, "value string, restored string, operations string, gain double, damaged boolean")
 
 
 def fields_of(tracks: DataFrame) -> DataFrame:
