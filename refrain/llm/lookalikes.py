@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from refrain.io import cut, load
 from refrain.llm import mojibake
-from refrain.skew import hot_keys, spread_join
+from refrain.skew import hot_keys, spread_join, spread_out
 
 SOURCES = (("candidates", "candidate_id", "title"), ("tracks", "track_id", "current_title"), ("tracks", "track_id", "filename"))
 # Letters that look like Latin ones, and the Latin prototype of each.
@@ -167,7 +167,7 @@ def originals(values: DataFrame, lexicon: frozenset[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["value", "n", "skeleton", "form", "scripts", "changed"])
 
     values = values.where(F.col("value").isNotNull())
-    other = values.where(F.col("value").rlike(_FOREIGN)).select("value", "n").mapInPandas(run, "value string, n long, skeleton string, form string, scripts int, changed boolean")
+    other = spread_out(values.where(F.col("value").rlike(_FOREIGN)).select("value", "n"), "value").mapInPandas(run, "value string, n long, skeleton string, form string, scripts int, changed boolean")
     plain = values.where(~F.col("value").rlike(_FOREIGN))
     plain = plain.select("value", "n", F.trim(F.regexp_replace("value", r"\s+", " ")).alias("skeleton"), F.col("value").alias("form"), F.when(F.col("value").rlike("[A-Za-z]"), 1).otherwise(0).alias("scripts"), F.lit(False).alias("changed"))
     return other.unionByName(plain)

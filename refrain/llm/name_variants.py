@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from refrain.io import cut, load
 from refrain.llm import mojibake
 from refrain.operators.packed_fields import dialects
+from refrain.skew import spread_out
 
 # Short forms of given names, by formal name.
 NICKNAMES = {
@@ -161,7 +162,7 @@ def nodes_of(values: DataFrame) -> DataFrame:
             rows = [(v, n, r[0], "|".join([r[0], r[2], *r[1]]), r[2]) for v, n in zip(b["value"], b["n_rows"]) if (r := read(v))]
             yield pd.DataFrame(rows, columns=["value", "n_rows", "kind", "node", "given"])
 
-    out = values.groupBy("value").agg(F.sum("n_rows").alias("n_rows")).mapInPandas(run, "value string, n_rows long, kind string, node string, given string")
+    out = spread_out(values.groupBy("value").agg(F.sum("n_rows").alias("n_rows")), "value").mapInPandas(run, "value string, n_rows long, kind string, node string, given string")
     return out.withColumn("id", F.xxhash64("node"))
 
 
@@ -197,7 +198,7 @@ def _index(nodes: DataFrame) -> DataFrame:
             rows = [(k, key, i, n) for node, i, n in zip(b["node"], b["id"], b["n_rows"]) for k, key in keys_of(node.split("|")[2:], node.split("|")[1])]
             yield pd.DataFrame(rows, columns=["kind", "key", "id", "n_rows"])
 
-    return nodes.select("node", "id", "n_rows").repartition("id").mapInPandas(run, "kind string, key long, id long, n_rows long")
+    return spread_out(nodes.select("node", "id", "n_rows"), "id").mapInPandas(run, "kind string, key long, id long, n_rows long")
 
 
 @F.pandas_udf(T.BooleanType())
