@@ -5,15 +5,17 @@ All parsing is in built-in expressions. Dates come out as precise as they were g
 (``YYYY-MM-DDTHH:MM:SSZ``). A local time that occurs twice means the earlier instant; one that is
 skipped moves on by the length of the gap, as ``try_make_timestamp`` has it.
 
-Where a source's zone is not known it is estimated: each candidate zone (with its history of
-offsets) turns the local times into instants, instants later than their ingestion are violations,
-and the zone with the fewest is taken; then the one that leaves the least lag.
+Where a source's zone is not known it is estimated: each candidate zone, which is a history of
+offsets, turns the local times into instants. An instant later than its ingestion is a violation, and so is one that is
+earlier than the instant of the row before in the source's sequence. The history with the fewest violations is taken, then the one
+that leaves the least lag. Then the times are converted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from refrain.io import load
 
@@ -38,8 +40,8 @@ ZONES = {
 }
 #: Locales in which numbers come month first, and year first; all others have the day first.
 MONTH_FIRST, YEAR_FIRST = ("en-US",), ("ja-JP", "zh-CN", "ko-KR", "hu-HU", "sv-SE")
-#: Two-digit years lie from 1930 to 2029.
-PIVOT = 30
+#: Two-digit years lie from 1930 to 2029; rows of a sequence that are ordered in one task.
+PIVOT, SEQUENCE = 30, 10_000
 
 
 def _map(d: dict) -> Column:
@@ -194,20 +196,34 @@ def release_year(value: Column) -> Column:
 def estimate_zones(stamps: DataFrame, zones: DataFrame) -> DataFrame:
     """(source, zone, n_violations, n) of the best zone of each ``source``.
 
-    ``stamps``: source, local (timestamp_ntz), ingested (timestamp_ntz in UTC); rows with a null are
-    left out. ``zones``: candidate zone names (column ``zone``), a bounded list of at most the 600 or
-    so of the zone database, so each stamp is taken against all of them; ties go to the
+    ``stamps``: source, local (timestamp_ntz), ingested (timestamp_ntz in UTC) and perhaps seq, the place of the stamp in the
+    source's order (rows without one only count against their ingestion); rows with a null source, local or ingested are
+    left out. ``zones``: candidate zone names (column ``zone``), those of the zone database at most, which are
+    about 600, so each stamp is taken against all of them; ties go to the
     lesser lag, then to the lesser name. An unknown zone name never wins.
     """
-    names = F.broadcast(zones.select("zone").where(F.col("zone").isNotNull()).distinct().limit(1000))
+    zero = F.lit(0)
+    valid = F.try_make_timestamp(F.lit(2000), F.lit(1), F.lit(1), zero, zero, zero.cast("decimal(16,6)"), F.col("zone")).isNotNull()
+    names = F.broadcast(zones.select("zone").where(F.col("zone").rlike("^[A-Za-z_+-]+(/[A-Za-z0-9_+-]+)*$") & valid).distinct())  # names of the database only
+    rows = stamps if "seq" in stamps.columns else stamps.withColumn("seq", F.lit(None).cast("long"))
+    rows = rows.where(F.col("source").isNotNull() & F.col("local").isNotNull() & F.col("ingested").isNotNull()).select("source", "local", F.date_trunc("minute", "ingested").alias("ingested"), "seq")
+    # the row before in the sequence; in ranges of the sequence, so no task orders a whole source
+    near = Window.partitionBy("source", F.floor(F.col("seq") / SEQUENCE)).orderBy("seq")
+    rows = rows.withColumn("before", F.when(F.col("seq").isNotNull(), F.lag("local").over(near)))
     # equal stamps count together, so a source's hot stamp is one row
-    rows = stamps.where(F.col("source").isNotNull() & F.col("local").isNotNull() & F.col("ingested").isNotNull()).groupBy("source", "local", F.date_trunc("minute", "ingested").alias("ingested")).agg(F.count("*").alias("n"))
-    second = F.second("local").cast("decimal(16,6)")
-    utc = F.unix_seconds(F.try_make_timestamp(F.year("local"), F.month("local"), F.day("local"), F.hour("local"), F.minute("local"), second, F.col("zone")))
-    came = F.unix_seconds(F.try_make_timestamp(F.year("ingested"), F.month("ingested"), F.day("ingested"), F.hour("ingested"), F.minute("ingested"), F.second("ingested").cast("decimal(16,6)"), F.lit("UTC")))
-    lag = came - utc + 60
-    each = rows.join(names, F.lit(True)).withColumn("lag", lag).where(F.col("lag").isNotNull())
-    scored = each.groupBy("source", "zone").agg(F.sum(F.when(F.col("lag") < 0, F.col("n")).otherwise(0)).alias("n_violations"), F.sum("n").alias("n"), F.sum(F.when(F.col("lag") >= 0, F.col("lag").cast("double") * F.col("n")).otherwise(0.0)).alias("total_lag"))
+    rows = rows.groupBy("source", "local", "ingested", "before").agg(F.count("*").alias("n"))
+
+    def instant_of(t: str, zone: Column) -> Column:
+        return F.unix_seconds(F.try_make_timestamp(F.year(t), F.month(t), F.day(t), F.hour(t), F.minute(t), F.second(t).cast("decimal(16,6)"), zone))
+
+    each = rows.join(names).withColumn("utc", instant_of("local", F.col("zone"))).where(F.col("utc").isNotNull())
+    each = each.withColumn("lag", instant_of("ingested", F.lit("UTC")) - F.col("utc") + 60)
+    # a local time that occurs twice may be the later one
+    shown = lambda t: F.from_utc_timestamp(F.timestamp_seconds(t), F.col("zone"))
+    latest = F.col("utc") + F.when(shown(F.col("utc") + 3600) == shown(F.col("utc")), 3600).otherwise(0)
+    each = each.withColumn("back", F.coalesce(latest < instant_of("before", F.col("zone")), F.lit(False)))
+    violated = F.when(F.col("lag") < 0, F.col("n")).otherwise(0) + F.when(F.col("back"), F.col("n")).otherwise(0)
+    scored = each.groupBy("source", "zone").agg(F.sum(violated).alias("n_violations"), F.sum("n").alias("n"), F.sum(F.when(F.col("lag") >= 0, F.col("lag").cast("double") * F.col("n")).otherwise(0.0)).alias("total_lag"))
     best = scored.groupBy("source").agg(F.min(F.struct("n_violations", "total_lag", "zone", "n")).alias("b"))
     return best.select("source", F.col("b.zone").alias("zone"), F.col("b.n_violations").alias("n_violations"), F.col("b.n").alias("n"))
 
@@ -251,3 +267,10 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
     """p5_values: distinct stored values with their form and number of candidates."""
     rows = normalised(load(spark, folder, "candidates"), load(spark, folder, "providers"))
     return rows.groupBy("field", "stored", "value").agg(F.count("*").alias("n_candidates"))
+
+
+def zones(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_zones: each provider's home zone beside the one that its times without a zone would be given by estimate, with the violations of that."""
+    customs = load(spark, folder, "providers").where(F.col("provider").isNotNull()).select(F.col("provider").alias("source"), "home_zone").dropDuplicates(["source"])
+    guessed = estimate_zones(local_stamps(load(spark, folder, "candidates")), customs.select(F.col("home_zone").alias("zone")))
+    return customs.join(guessed, "source", "left").select(F.col("source").alias("provider"), "home_zone", F.col("zone").alias("estimated"), "n_violations", "n")

@@ -279,7 +279,7 @@ _QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 def queries() -> dict[str, Query]:
     """Each takes (session, folder of tables)."""
-    return _QUERIES | {"p4_found": packed_fields.found, "p4_dialects": packed_fields.report, "p5_found": dates.found, "p5_values": dates.report}
+    return _QUERIES | {"p4_found": packed_fields.found, "p4_dialects": packed_fields.report, "p5_found": dates.found, "p5_values": dates.report, "p5_zones": dates.zones}
 
 
 _C = "c AS (SELECT DISTINCT ON (candidate_id) * FROM candidates)"
