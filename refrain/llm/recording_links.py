@@ -2,10 +2,10 @@
 
 A cascade of rules from strong to weak, each an exact join on a weaker combination of attributes: code and
 title, title and artist, title and a part of the artist, title without one word and artist, code and
-artist. Each pass joins only candidates that no pass before resolved: those that found a sheet are
-anti-joined out before the next. Every pair that meets is verified on title, take, artist and length. Sheets that describe
-one recording (it can be delivered under two numbers) are linked among themselves, and a candidate that
-found one of them has found all.
+artist. Records that found a partner are resolved, on either side, and are anti-joined out before the next pass: it joins
+open candidates to all sheets, and resolved candidates to open sheets only, as a recording can be delivered under
+several numbers. Every pair that meets is verified on title, take, artist and length. Sheets that describe
+one recording are linked among themselves too, and a candidate that found one of them has found all.
 
 Confidence is each rule's precision on labelled pairs, with add-one smoothing. For it every rule is run by itself, without anti-joins, on
 at most about ``LABELLED`` candidates whose code some sheet has, chosen by hash. The labels are what a rule does not
@@ -115,29 +115,45 @@ def artist_of(artist: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
-
-
-def keys_of(code: str, words: tuple[str, ...], takes: int, artist: tuple[str, ...]) -> list[tuple[int, int]]:
-    """(rule, key) of a record for every rule."""
-    title, take, own = "".join(words), str(takes), artist
-    telling = [w for w in own if len(w) > 2 and w not in _GIVEN and w not in COMMON] or [w for w in own if len(w) > 2]
-    out = []
-    if code and title:
-        out.append((1, _hash("1", code, title, take)))
-    if code:
-        out += [(5, _hash("5", code, w)) for w in telling]
-    if title:
-        out += [(2, _hash("2", title, take, w)) for w in telling]
-        for i, w in enumerate(own):  # the parts of one name stand close to each other
-            out += [(3, _hash("3", title, take, w[0], x)) for v in own[max(0, i - 2) : i + 3] if v != w and len(v) > 2 for x in ("<" + v[:2], ">" + v[-2:])]
-        if len(words) > 1:
-            rests = {"|".join(words[:i] + words[i + 1 :]) for i in range(len(words))}
-        else:
-            rests = {title, *(title[:i] + title[i + 1 :] for i in range(len(title)))} if len(title) > 4 else set()
-        out += [(4, _hash("4", r, take, w)) for r in rests for w in telling]
-    return list(dict.fromkeys(out))
+def _hashes(parts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(p) for p in parts], dtype=np.uint64)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for each pair of the hashes ``a`` and ``b``."""
+    x = ((a[:, None] ^ (b[None, :] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)).ravel()
+    return x ^ (x >> np.uint64(29))
+
+
+@lru_cache(maxsize=20_000)
+def _title_hashes(words: tuple[str, ...], takes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a title for rules 1, 2 and 3, and of the title without one word (without one letter, if it is one word) for rule 4."""
+    title = "".join(words)
+    if not title:
+        none = np.zeros(0, dtype=np.uint64)
+        return none, none, none, none
+    if len(words) > 1:
+        rests = {"|".join(words[:i] + words[i + 1 :]) for i in range(len(words))}
+    else:
+        rests = {title, *(title[:i] + title[i + 1 :] for i in range(len(title)))} if len(title) > 4 else set()
+    return _hashes([f"1|{title}|{takes}"]), _hashes([f"2|{title}|{takes}"]), _hashes([f"3|{title}|{takes}"]), _hashes([f"4|{r}|{takes}" for r in sorted(rests)])
+
+
+@lru_cache(maxsize=20_000)
+def _artist_hashes(artist: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the telling words of an artist, and of parts of a name: an initial with the begin or end of a word close to it."""
+    telling = [w for w in artist if len(w) > 2 and w not in _GIVEN and w not in COMMON] or [w for w in artist if len(w) > 2]
+    parts = {f"{w[0]}|{x}" for i, w in enumerate(artist) for v in artist[max(0, i - 2) : i + 3] if v != w and len(v) > 2 for x in ("<" + v[:2], ">" + v[-2:])}
+    return _hashes(list(dict.fromkeys(telling))), _hashes(sorted(parts))
+
+
+def keys_of(code: str, words: tuple[str, ...], takes: int, artist: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, keys) of a record for every rule."""
+    first, second, third, fourth = _title_hashes(words, takes)
+    telling, parts = _artist_hashes(artist)
+    own = _hashes([code]) if code else telling[:0]
+    keys = [_mixed(own, first), _mixed(second, telling), _mixed(third, parts), _mixed(fourth, telling), _mixed(own, telling)]
+    return np.repeat(np.arange(1, 6, dtype=np.int32), [len(k) for k in keys]), np.concatenate(keys)
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -222,7 +238,8 @@ def sheet_keys(sheets: DataFrame) -> DataFrame:
                 c, s = code_of(code), seconds_of(length)
                 words, takes = title_of(title) if title else ((), 0)
                 artist = artist_of(" ".join(reversed(performer.split(",", 1)))) if performer else ()
-                rows.extend((k, r, i, title, performer, c, s, "".join(words)) for r, k in keys_of(c, words, takes, artist))
+                rules, keys = keys_of(c, words, takes, artist)
+                rows.extend((k, r, i, title, performer, c, s, "".join(words)) for r, k in zip(rules.tolist(), keys.view(np.int64).tolist()))
             yield pd.DataFrame(rows, columns=["key", "rule", "sheet_id", "work_title", "performer", "code", "seconds", "work_key"])
 
     distinct = sheets.select("sheet_id", "work_title", "performer", "code", "length").where(F.col("sheet_id").isNotNull()).distinct()
@@ -253,23 +270,23 @@ def candidate_hits(candidates: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.unpackbits(shared.value).view(bool)
         for b in batches:
-            rows, keys = [], []
+            rows, rules, keys = [], [], []
             for i, title, artist, code, length in zip(b["candidate_id"], b["title"], b["artist"], b["isrc"], b["duration_s"]):
                 if not title or not artist or not title.strip() or not artist.strip():
                     continue
                 c = code_of(code)
                 words, takes = title_of(title)
                 own = keys_of(c, words, takes, artist_of(artist))
-                keys.extend(k for _, k in own)
-                rows.append((i, title, artist, c, length, "".join(words), own))
-            k = np.array(keys, dtype=np.int64).view(np.uint64)
-            ok = table[(k % np.uint64(BLOOM_BITS)).astype(np.int64)] & table[((k >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)] if len(k) else np.zeros(0, dtype=bool)
-            out, at = [], 0
-            for *known, own in rows:
-                if hits := [{"rule": r, "key": x} for (r, x), o in zip(own, ok[at : at + len(own)]) if o]:
-                    out.append((*known, hits))
-                at += len(own)
-            yield pd.DataFrame(out, columns=["candidate_id", "title", "artist", "isrc", "length", "title_key", "hits"])
+                rules.append(own[0])
+                keys.append(own[1])
+                rows.append((i, title, artist, c, length, "".join(words)))
+            ends = np.cumsum([len(k) for k in keys])
+            k, r = (np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((keys, np.uint64), (rules, np.int32)))
+            kept = np.flatnonzero(table[(k % np.uint64(BLOOM_BITS)).astype(np.int64)] & table[((k >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)])
+            held: dict[int, list[dict]] = {}
+            for row, rule, key in zip(np.searchsorted(ends, kept, side="right").tolist(), r[kept].tolist(), k[kept].view(np.int64).tolist()):
+                held.setdefault(row, []).append({"rule": rule, "key": key})
+            yield pd.DataFrame([(*rows[row], hits) for row, hits in held.items()], columns=["candidate_id", "title", "artist", "isrc", "length", "title_key", "hits"])
 
     c = candidates.select("candidate_id", "title", "artist", "isrc", "duration_s").where(F.col("candidate_id").isNotNull() & F.col("title").isNotNull() & F.col("artist").isNotNull())
     return c.mapInPandas(run, "candidate_id long, title string, artist string, isrc string, length double, title_key string, hits array<struct<rule: int, key: long>>")
@@ -305,10 +322,10 @@ def verified(met: DataFrame, frequent: frozenset[str]) -> DataFrame:
     return ok.select("candidate_id", "sheet_id", F.when((F.col("isrc") != "") & (F.col("code") != ""), F.col("same_code")).alias("code_says"), (off <= 4.0).alias("length_says"))
 
 
-def met_by(open_: DataFrame, keys: DataFrame, rule: int) -> DataFrame:
-    """The pairs of ``open_`` and sheets that share a key of ``rule``, each once, without those that no verification would pass; hot keys are split."""
+def met_by(open_: DataFrame, keys: DataFrame, rule: int, hot: DataFrame) -> DataFrame:
+    """The pairs of ``open_`` and sheets that share a key of ``rule``, each once, without those that no verification would pass; ``hot`` keys are split."""
     asked = open_.select("*", F.explode(F.filter("hits", lambda h: h["rule"] == rule)).alias("h")).select(*[c for c in open_.columns if c != "hits"], F.col("h.key").alias("key"))
-    met = spread_join(asked, keys.where(F.col("rule") == rule).drop("rule"), ["key"], ["candidate_id"], hot=hot_keys(asked, ["key"]))
+    met = spread_join(asked, keys.where(F.col("rule") == rule).drop("rule"), ["key"], ["candidate_id"], hot=hot)
     return likely(met).dropDuplicates(["candidate_id", "sheet_id"])
 
 
@@ -321,7 +338,7 @@ def twins(keys: DataFrame, frequent: frozenset[str]) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("twin").alias("sheet_id"), F.col("sheet_id").alias("twin"))).distinct()
 
 
-def precision_of(candidates: DataFrame, keys: DataFrame, frequent: frozenset[str]) -> dict[int, float]:
+def precision_of(candidates: DataFrame, keys: DataFrame, frequent: frozenset[str], hot: DataFrame) -> dict[int, float]:
     """The precision of each rule on labelled candidates; candidates whose code some sheet has, about ``LABELLED`` of them by hash.
 
     Rules 1 and 5 use the code, so agreeing lengths are their labels; for the others codes that agree, or
@@ -333,7 +350,7 @@ def precision_of(candidates: DataFrame, keys: DataFrame, frequent: frozenset[str
     parts = None
     for rule in RULES:
         says = F.col("length_says" if rule in (1, 5) else "code_says")
-        part = verified(met_by(labelled, keys, rule), frequent).select(F.lit(rule).alias("rule"), says.alias("says"))
+        part = verified(met_by(labelled, keys, rule, hot), frequent).select(F.lit(rule).alias("rule"), says.alias("says"))
         parts = part if parts is None else parts.unionByName(part)
     counts = {r[0]: (r[1], r[2]) for r in parts.groupBy("rule").agg(F.count(F.when(F.col("says"), 1)), F.count("says")).collect()}  # a row a rule
     return {rule: (counts.get(rule, (0, 0))[0] + 1) / (counts.get(rule, (0, 0))[1] + 2) for rule in RULES}
@@ -348,15 +365,22 @@ def links(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     frequent = frequent_words(candidates.select("title"))
     keys = cut(sheet_keys(sheets))
     everyone = cut(candidate_hits(candidates, key_filter(keys)).distinct())
-    precision = precision_of(everyone, keys, frequent)
-    open_, pairs = everyone, None
+    hot = cut(hot_keys(everyone.select(F.explode("hits.key").alias("key")), ["key"]))
+    precision = precision_of(everyone, keys, frequent, hot)
+    open_, done, open_keys, pairs = everyone, None, keys, None
     for rule in RULES:
-        new = cut(verified(met_by(open_, keys, rule), frequent).select("candidate_id", "sheet_id", F.lit(rule).alias("rule"), F.lit(precision[rule]).alias("confidence")))
+        met = met_by(open_, keys, rule, hot)
+        if done is not None:
+            met = met.unionByName(met_by(done, open_keys, rule, hot))
+        new = cut(verified(met, frequent).select("candidate_id", "sheet_id", F.lit(rule).alias("rule"), F.lit(precision[rule]).alias("confidence")))
         pairs = new if pairs is None else pairs.unionByName(new)
         if rule != max(RULES):
-            open_ = cut(open_.join(new.select("candidate_id").distinct(), "candidate_id", "left_anti"))
-    both = twins(keys, frequent)
-    more = spread_join(pairs, both, ["sheet_id"], ["candidate_id"], hot=hot_keys(pairs, ["sheet_id"])).select("candidate_id", F.col("twin").alias("sheet_id"), "rule", (F.col("confidence") * 0.9).alias("confidence"))
+            found_one, found_other = new.select("candidate_id").distinct(), new.select("sheet_id").distinct()
+            resolved = cut(open_.join(found_one, "candidate_id", "left_semi"))
+            done = resolved if done is None else done.unionByName(resolved)
+            open_ = cut(open_.join(found_one, "candidate_id", "left_anti"))
+            open_keys = cut(open_keys.where(F.col("rule") > rule).join(found_other, "sheet_id", "left_anti"))
+    more = spread_join(pairs, twins(keys, frequent), ["sheet_id"], ["candidate_id"], hot=hot_keys(pairs, ["sheet_id"])).select("candidate_id", F.col("twin").alias("sheet_id"), "rule", (F.col("confidence") * 0.9).alias("confidence"))
     every = pairs.unionByName(more)
     return every.groupBy("candidate_id", "sheet_id").agg(F.max(F.struct("confidence", "rule")).alias("b")).select("candidate_id", "sheet_id", F.col("b.rule").alias("rule"), F.round("b.confidence", 6).alias("confidence"))
 
