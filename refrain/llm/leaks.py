@@ -5,10 +5,13 @@ Hamming distance: a pointer walks over the words and a random bit, given by step
 moves on. A key samples some coordinates of the walk; windows of a document that share a key with
 a sentence of an item are verified exactly: at most one word added, dropped or changed. Walks run
 from a window's first word onward and from its last word backward, so an edit spoils only walks
-that pass it, and repetitions are added until the recall on randomly edited sentences reaches a target.
+that pass it. A walk has no more steps than the sentences of its class have words, so it never leaves an
+item-sized window. Repetitions are added, class by class, until the recall on randomly edited sentences, set between other words of
+the items, reaches a target; sentences that ``MOST_PAIRS`` repetitions don't bring there get exact keys of their first and last half, of
+which one edit leaves one whole.
 
-The index of the items is built on the driver in blocks of ``BLOCK`` items, whose size is bounded;
-each block is run against all documents.
+The index of the items is built on the driver in blocks of about ``BLOCK`` items, whose size is bounded;
+all documents are read once and held against the index of every block.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,15 +28,18 @@ from pyspark.sql import functions as F
 
 from refrain.io import load
 
-#: Items in one index, coordinates of a key, steps of a walk, target recall and most pairs of repetitions.
-BLOCK, COORDINATES, STEPS, RECALL, MOST_PAIRS = 20_000, 5, 14, 0.999, 12
+#: Items in one index, coordinates of a key, target recall and pairs of repetitions after which keys are exact.
+BLOCK, COORDINATES, RECALL, MOST_PAIRS = 20_000, 5, 0.999, 12
 #: Sentences of fewer words are no evidence of a leak by themselves.
 LEAST_WORDS = 5
+#: Steps of the walks, by class of sentences: those with at least as many words.
+STEPS = (LEAST_WORDS, 8, 14)
 #: Edited sentences on which recall is measured; words that are walked at once, a bound on memory.
 TRIALS, WORDS_AT_ONCE = 2000, 200_000
 SEED = 20240917
 _TAG = re.compile(r"<[^<>]{0,200}>")
-_TOKEN = re.compile(r"[^\W_]+")
+_UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0e7f"  # scripts without spaces: each character is a word
+_TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+")
 
@@ -86,21 +92,35 @@ class Index:
         self.coded = [np.array([self.vocabulary[x] for x in w], dtype=np.int32) for _, w in self.sentences]
         self.rng = np.random.default_rng(SEED)
         self.walks: list[tuple[bool, np.ndarray, np.ndarray, list[np.ndarray], dict[int, list[int]]]] = []
-        for _ in range(MOST_PAIRS):
-            self._add(False)
-            self._add(True)
-            if self._recall() >= RECALL:
-                break
-
-    def _add(self, backward: bool) -> None:
-        bits = self.rng.integers(0, 2, (STEPS, len(self.vocabulary) + 1), dtype=np.int8)
-        at = np.sort(self.rng.choice(np.arange(1, STEPS), COORDINATES - 1, replace=False))
-        at = np.concatenate([[0], at])
+        for steps, longer in zip(STEPS, (*STEPS[1:], None)):
+            members = [s for s, c in enumerate(self.coded) if len(c) >= steps and (longer is None or len(c) < longer)]
+            missed: list[int] = []
+            for _ in range(MOST_PAIRS if members else 0):
+                for backward in (False, True):
+                    bits = self.rng.integers(0, 2, (steps, len(self.vocabulary) + 1), dtype=np.int8)
+                    at = np.sort(self.rng.choice(np.arange(1, steps), COORDINATES - 1, replace=False))
+                    self._add(members, backward, bits, np.concatenate([[0], at]))
+                if len(missed := self._missed(members)) <= (1 - RECALL) * TRIALS:
+                    missed = []
+                    break
+            self._add_halves(sorted(set(missed)))
+
+    def _add_halves(self, members: list[int]) -> None:
+        """Exact keys: walks that move on at every step and sample all of them, over the first half and over the last."""
+        for backward in (False, True):
+            by_size: dict[int, list[int]] = {}
+            for s in members:
+                n = len(self.coded[s])
+                by_size.setdefault(n - n // 2 if backward else n // 2, []).append(s)
+            for size, group in by_size.items():
+                self._add(group, backward, np.ones((size, len(self.vocabulary) + 1), dtype=np.int8), np.arange(size))
+
+    def _add(self, members: list[int], backward: bool, bits: np.ndarray, at: np.ndarray) -> None:
         keys: dict[int, list[int]] = {}
         levels: list[set[int]] = [set() for _ in at]
-        for s, code in enumerate(self.coded):
-            starts = np.array([len(code) - 1 if backward else 0])
-            partial = list(self._partial(code, starts, backward, bits, at))
+        for s in members:
+            code = self.coded[s]
+            partial = list(self._partial(code, np.array([len(code) - 1 if backward else 0]), backward, bits, at))
             for level, key in zip(levels, partial):
                 level.add(int(key[0]))
             keys.setdefault(int(partial[-1][0]), []).append(s)
@@ -182,58 +202,65 @@ class Index:
         sizes = np.array([len(c) + 3 for c in codes], dtype=np.int64)
         return np.concatenate([x for c in codes for x in (c, gap)] or [gap]), np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(codes) else np.zeros(1, dtype=np.int64)
 
-    def _recall(self) -> float:
-        """Share of sentences, each edited at random between other words, that are found again."""
-        if not self.sentences:
-            return 1.0
+    def _missed(self, members: list[int]) -> list[int]:
+        """The sentences of ``TRIALS`` that, edited at random between random words of the items, are not found again."""
         rng, codes = np.random.default_rng(SEED + len(self.walks)), []
-        picks = rng.integers(0, len(self.sentences), TRIALS)
+        picks = [members[i] for i in rng.integers(0, len(members), TRIALS)]
         for s in picks:
             code, kind = self.coded[s].tolist(), rng.integers(0, 3)
             e = int(rng.integers(0, len(code)))
-            codes.append(np.array(code[:e] + ([] if kind == 0 else [0] if kind == 1 else [0, code[e]]) + code[e + 1 :], dtype=np.int32))
+            edited = code[:e] + ([] if kind == 0 else [0] if kind == 1 else [0, code[e]]) + code[e + 1 :]
+            around = rng.integers(1, len(self.vocabulary) + 1, 2 * STEPS[-1]).tolist()
+            codes.append(np.array(around[: STEPS[-1]] + edited + around[STEPS[-1] :], dtype=np.int32))
         joined, starts = self.joined(codes)
-        found = {t for p, x, _ in self.candidates(joined) if picks[t := int(np.searchsorted(starts, p, side="right")) - 1] == x}
-        return len(found) / len(picks)
+        found = set()
+        for p, x, backward in self.candidates(joined):
+            t = int(np.searchsorted(starts, p, side="right")) - 1
+            at = p - int(starts[t]) - STEPS[-1]
+            n = len(codes[t]) - 2 * STEPS[-1]
+            if picks[t] == x and at == (n - 1 if backward else 0):
+                found.add(t)
+        return [s for t, s in enumerate(picks) if t not in found]
 
 
-def leaks(documents: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
+def leaks(documents: DataFrame, blocks: Iterable[list[tuple[int, str | None]]]) -> DataFrame:
     """(doc_id, item_id) of all documents that hold a whole sentence of a passage up to one word.
 
     Null and empty texts and passages give no row; a repeated document gives its rows once.
-    ``items``: (item_id, passage), any number; they are taken in blocks of ``BLOCK``.
+    ``blocks``: lists of (item_id, passage), each of about ``BLOCK`` at most.
     """
-    spark = documents.sparkSession
-    result = None
-    for at in range(0, max(1, len(items)), BLOCK):
-        index = spark.sparkContext.broadcast(Index(items[at : at + BLOCK]))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            known = index.value
-            for b in batches:
-                rows, docs, texts, size = [], [], [], 0
-                for doc, text in [*zip(b["doc_id"], b["text"]), (None, None)]:
-                    if words := words_of(text):
-                        docs.append(doc), texts.append(words)
-                        size += len(words)
-                    if texts and (text is None or size >= WORDS_AT_ONCE):
-                        rows.extend((d, i) for d, hit in zip(docs, known.leaks(texts)) for i in hit)
-                        docs, texts, size = [], [], 0
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
-
-        part = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, item_id long")
-        result = part if result is None else result.unionByName(part)
-    return result.distinct()
-
-
-def items_of(spark: SparkSession, folder: str) -> list[tuple[int, str | None]]:
-    """The evaluation items: a held-out test is a fixed table, taken to the driver block by block."""
-    return [(r[0], r[1]) for r in load(spark, folder, "eval_items").select("item_id", "passage").dropDuplicates(["item_id"]).orderBy("item_id").toLocalIterator()]
+    context = documents.sparkSession.sparkContext
+    indexes = [context.broadcast(Index(items)) for items in blocks]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, docs, texts, size = [], [], [], 0
+            for doc, text in [*zip(b["doc_id"], b["text"]), (None, None)]:
+                if words := words_of(text):
+                    docs.append(doc), texts.append(words)
+                    size += len(words)
+                if texts and (text is None or size >= WORDS_AT_ONCE):
+                    for index in indexes:
+                        rows.extend((d, i) for d, hit in zip(docs, index.value.leaks(texts)) for i in hit)
+                    docs, texts, size = [], [], 0
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    return texts.mapInPandas(run, "doc_id long, item_id long").distinct()
+
+
+def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The evaluation items (item_id, passage) in blocks by hash, of about ``BLOCK`` each; only one block is fetched at a time."""
+    items = items.select("item_id", "passage").where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
+    n_blocks = max(1, -(-items.count() // BLOCK))
+    for k in range(n_blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
+        yield sorted(((r[0], r[1]) for r in block.collect()), key=lambda x: x[0])
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """p9_found: every document that holds sentences of evaluation items, with the items."""
-    return leaks(load(spark, folder, "documents"), items_of(spark, folder))
+    return leaks(load(spark, folder, "documents"), blocks_of(load(spark, folder, "eval_items")))
 
 
 def leaked_items(spark: SparkSession, folder: str) -> DataFrame:
