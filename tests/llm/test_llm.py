@@ -191,7 +191,7 @@ def test_leaks_against_brute_force(spark):
     assert sum(g and not w for g, w in zip(got, want)) == 0
     assert sum(w and not g for g, w in zip(got, want)) <= 0.01 * sum(want)
     d = spark.createDataFrame([(1, "x <b>According</b> to THE ledger of _Drizy_, 573 copies\n reached the port before winter"), (2, "according to the ledger of Drizy, 574 copies reached the port before winter"), (3, None), (4, ""), (1, "again")], "doc_id long, text string")
-    assert [tuple(r) for r in leaks.leaks(d, [(1, PASSAGE)]).collect()] == [(1, 1)]
+    assert [tuple(r) for r in leaks.leaks(d, [[(1, PASSAGE)], [(9, None)]]).collect()] == [(1, 1)]
     assert leaks.leaks(d, []).count() == 0
 
 
@@ -202,14 +202,57 @@ def test_leaks_against_brute_force(spark):
     ("Song [live] and [b]bold[/b] <h1>title</h1>", False), ("© 2009", False), ("", False), (None, False), ("A plain review. " * 5000, False),
 ])
 def test_residue(text, bad):
-    assert any(residue.strength(m) == 2 for m in residue.messages_of(text)) is bad
-
-
-def test_residue_groups(spark):
-    d = spark.createDataFrame([(1, "a", "Coming soon", "x"), (2, "b", "Please reload, our captcha broke", "x"), (3, "c", "please reload, our captcha broke", "x"), (4, None, "Please reload, our captcha broke", "x"), (5, "a", "fine", "x"), (6, "a", None, "x"), (1, "a", "Coming soon", "x")], "doc_id long, source string, text string, message string")
-    g = residue.groups(residue.suspects(d))
-    assert sorted((r["n_documents"], r["n_sources"], r["residue"]) for r in g.collect()) == [(1, 1, True), (3, 2, True)]
-    assert residue.groups(residue.suspects(d.limit(0))).count() == 0
+    assert any(syntax or residue.strength(form) == 2 for form, syntax in residue.messages_of(text)) is bad
+
+
+def test_residue_groups(spark, tmp_path):
+    rows = [(1, "a", "Coming soon", "x"), (2, "b", "Please reload, our captcha broke", "x"), (3, "c", "please reload, our captcha broke!", "x"), (4, None, "Please reload, our captcha broke", "x"), (5, "a", "fine", "x"), (6, "a", None, "x"), (1, "a", "Coming soon", "x")]
+    rows += [(7, "a", "Good.\nThe player failed to load - trace 77", "x"), (8, "b", "The lyrics failed to load", "x"), (9, "c", "Label: {{ label }}", "x"), (10, "a", "", "x"), (None, "a", "{{ x }}", "x")]
+    rows += [(11, "a", "The liner notes is reserved", "x"), (12, "d", "lorem ipsum dolor sit amet nunc", "x"), (13, "e", "Ipsum amet ligula, mollis dolor quam.", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, form string")
+    got = {r["form"]: (r["n_documents"], r["n_sources"]) for r in residue.residue_groups(residue.messages(d)).collect()}
+    assert got == {"please reload, our captcha broke": (3, 2), "⟨s⟩ failed to load": (2, 2), "⟨filler⟩": (2, 2)}
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r[0] for r in residue.found(spark, str(tmp_path)).collect()) == [2, 3, 4, 7, 8, 9, 12, 13]
+    assert residue.residue_groups(residue.messages(d.limit(0))).count() == 0
+
+
+def samples(pattern: str) -> list[str]:
+    """Texts that a pattern matches, one or more for each of its branches."""
+    import re._parser as sre
+
+    def walk(items) -> list[str]:
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                parts = [chr(arg)]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, _, inner = arg
+                parts = [x * low for x in walk(inner)] if low else ["", *walk(inner)]
+            elif name == "SUBPATTERN":
+                parts = walk(arg[3])
+            elif name == "BRANCH":
+                parts = [x for branch in arg[1] for x in walk(branch)]
+            elif name == "IN":
+                kind, value = arg[0]
+                parts = {"LITERAL": lambda: [chr(v) for k, v in arg if str(k) == "LITERAL"], "RANGE": lambda: [chr(value[0])], "CATEGORY": lambda: ["a" if "NOT" not in str(value) and "WORD" in str(value) else " "]}.get(str(kind), lambda: ["a"])()
+            elif name in ("ANY", "NOT_LITERAL"):
+                parts = ["a"]
+            else:
+                parts = [""]
+            out = [a + b for a in out[:400] for b in dict.fromkeys(parts)]
+        return list(dict.fromkeys(out))
+
+    return walk(sre.parse(pattern))
+
+
+def test_every_branch_of_every_rule_has_a_trigger():
+    rules = [*residue._BEGINS, *residue._ANYWHERE, *residue._SYNTAX_BEGINS, *residue._SYNTAX_ANYWHERE, *(said for _, said in residue._NOTICES)]
+    forgotten = [x for rule in rules for x in samples(rule) if not residue._may_hold(x.replace("⟨n⟩", "5").lower())]
+    assert not forgotten, forgotten[:20]
+    weak = [x for x in samples(residue._WEAK.pattern) if not residue._may_hold(x)]
+    assert not weak, weak
 
 
 def test_queries_run_on_small_tables(spark, sf):
