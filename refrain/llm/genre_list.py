@@ -8,6 +8,7 @@ no entry and is reported with id -1.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -15,60 +16,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from refrain.io import cut, load
 from refrain.skew import distinct_counts, spread_join
 
-# Other names of the entries, by entry, as the trade uses them.
+# Other names of the entries that no edit of tokens leads to: translations, other scripts and clippings.
 ALIASES = {
-    "Desert Blues": ["Wüstenblues", "Blues du désert", "blues del desierto"],
-    "Chamber Jazz": ["Kammerjazz", "Jazz de chambre", "jazz de cámara"],
-    "Synth Folk": ["Synthesizer Folk", "Folk synthétique"],
-    "Drum & Bass": ["DnB", "D&B", "D'n'B", "jungle / drum and bass"],
-    "Rhythm & Blues": ["R&B", "RnB", "R and B", "R'n'B"],
-    "Hip-Hop": ["Hiphop"],
-    "Trip-Hop": ["Triphop"],
+    "Desert Blues": ["Wüstenblues"],
+    "Chamber Jazz": ["Kammerjazz"],
     "Math Rock": ["mathematical rock"],
-    "Bossa Nova": ["Bossa"],
-    "Flamenco": ["cante flamenco"],
-    "Klezmer": ["klezmer muzik", "Klesmer"],
-    "Fado": ["fado português"],
-    "Cumbia": ["música cumbia"],
-    "Merengue": ["merengue típico"],
-    "Polka": ["Polka-Musik", "Polca"],
     "Gospel": ["Gospelmusik"],
-    "Ambient Drone": ["drone/ambient"],
-    "Field Recording": ["field rec.", "Feldaufnahme"],
-    "Musique Concrète": ["Concrete Music", "Konkrete Musik", "música concreta"],
-    "Film Music": ["Filmmusik", "musique de film", "movie score", "film score"],
-    "Video Game Music": ["Videospielmusik", "VGM", "game music"],
-    "Choral": ["choir music", "Chormusik", "música coral"],
-    "Opera": ["Oper", "Opéra"],
-    "String Quartet": ["Streichquartett", "quatuor à cordes", "str. quartet", "cuarteto de cuerda"],
-    "Baroque": ["baroque era", "Barock", "barroco"],
-    "Minimalism": ["Minimal Music", "Minimalismus"],
-    "Free Improvisation": ["freie Improvisation", "free improv", "improv (free)"],
-    "Doo-Wop": ["Doowop"],
-    "Surf": ["surf-rock"],
-    "Garage Rock": ["60s garage rock"],
+    "Field Recording": ["Feldaufnahme"],
+    "Film Music": ["movie score"],
+    "Video Game Music": ["Videospielmusik"],
+    "Choral": ["choir music", "Chormusik"],
+    "String Quartet": ["Streichquartett", "quatuor à cordes", "cuarteto de cuerda"],
+    "Baroque": ["Barock", "barroco"],
+    "Minimalism": ["Minimal Music"],
     "Psychedelic Rock": ["psych rock", "rock psychédélique", "psychedelischer Rock"],
-    "Black Metal": ["BM (metal)"],
-    "Doom Metal": ["Doom"],
     "Grindcore": ["Grind"],
-    "Hardcore Punk": ["HC punk", "hxc punk"],
-    "Vaporwave": ["vapourwave"],
-    "Chiptune": ["8-bit chiptune", "chiptunes"],
-    "Hard Techno": ["techno (hard)"],
     "Lullaby": ["Lullabies", "Wiegenlied", "berceuse", "canción de cuna"],
-    "Sea Shanty": ["Seemannslied", "sea shanties", "shanty"],
+    "Sea Shanty": ["Seemannslied"],
     "Brass Band": ["Blaskapelle"],
     "Steelpan": ["steel drum band"],
-    "Gamelan": ["gamelan orchestra"],
-    "Qawwali": ["قوالی", "Qavvali", "Kawwali"],
-    "Rebetiko": ["Ρεμπέτικο", "Rembetiko", "rebetika"],
-    "Enka": ["演歌", "enka ballad"],
-    "Joik": ["Yoik", "sami joik"],
+    "Qawwali": ["قوالی"],
+    "Rebetiko": ["Ρεμπέτικο"],
+    "Enka": ["演歌"],
     "Persian Classical": ["klassisch persisch", "موسیقی سنتی ایرانی", "musique classique persane"],
 }
 #: Words that say nothing about the entry, and words that say little.
@@ -130,6 +103,8 @@ def reference_forms(entries: DataFrame, aliases: dict[str, list[str]] | None = N
             t = tokens_of(x)
             both = re.findall(r"[^\W_]+", fold(x).replace("&", " and "))
             joined = {"".join(t), "".join(both), "".join("n" if w == "and" else w for w in both)}
+            if len(both) > 2:  # initials, with the joining word said or shortened
+                joined |= {"".join(w[0] for w in both), *("".join(j if w == "and" else w[0] for w in both) for j in ("and", "n", "") if "and" in both)}
             return [t, *([j] for j in sorted(joined) if j and [j] != t)] if t else []
 
         return form.map(each)
@@ -141,11 +116,6 @@ def reference_forms(entries: DataFrame, aliases: dict[str, list[str]] | None = N
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _tokens(value: pd.Series) -> pd.Series:
-    return value.map(tokens_of)
-
-
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _readings(value: pd.Series) -> pd.Series:
     """Two readings of a value: its tokens, and all of them run together."""
@@ -168,12 +138,11 @@ def map_values(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
     forms = reference_forms(entries, aliases)
     # the tables of the list are used many times each, so they are written once
     form_tokens = cut(forms.select("genre_id", "form_id", F.explode("tokens").alias("word")).groupBy("genre_id", "form_id", "word").agg(F.count("*").alias("tf")).coalesce(1))
-    total = form_tokens.select(F.countDistinct("form_id").alias("n_forms"))
+    n_forms = float(form_tokens.select(F.countDistinct("form_id")).first()[0])
     generic = F.when(F.col("word").isin(*sorted(GENERIC)), GENERIC_WEIGHT).otherwise(1.0)
     vocabulary = cut((
         form_tokens.groupBy("word").agg(F.countDistinct("genre_id").alias("df"))
-        .crossJoin(F.broadcast(total))  # one row
-        .select("word", (generic * F.log(1 + F.col("n_forms") / F.col("df"))).alias("idf"), F.log(1 + F.col("n_forms")).alias("idf_other"))
+        .select("word", (generic * F.log(1 + F.lit(n_forms) / F.col("df"))).alias("idf"))
     ).coalesce(1))
     weighed = form_tokens.join(vocabulary, "word").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighed.groupBy("form_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -196,22 +165,21 @@ def map_values(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
         .select("token", "word", "idf", (1 - F.col("d") / longer).alias("sim"))
     )
     best = repaired.groupBy("token").agg(F.max_by("idf", "sim").alias("idf"))
-    other = vocabulary.agg(F.max("idf_other").alias("idf_other"))
     value_weights = (
         value_tokens.groupBy("value", "reading", "token").agg(F.count("*").alias("tf"))
-        .join(best, "token", "left").crossJoin(F.broadcast(other))  # one row
-        .withColumn("w", F.col("tf") * F.coalesce("idf", "idf_other"))
+        .join(best.hint("merge"), "token", "left")  # tokens grow with the values
+        .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + n_forms))))
     )
     value_norm = value_weights.groupBy("reading").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    value_weights = value_weights.join(value_norm, "reading").select("value", "reading", "token", (F.col("w") / F.col("norm")).alias("w_value"))
+    value_weights = value_weights.join(value_norm.hint("merge"), "reading").select("value", "reading", "token", (F.col("w") / F.col("norm")).alias("w_value"))
     scores = (
-        value_weights.join(repaired.select("token", "word", "sim"), "token").join(weighed, "word")
+        value_weights.join(repaired.select("token", "word", "sim").hint("merge"), "token").join(F.broadcast(weighed), "word")  # the list
         .groupBy("value", "reading", "genre_id", "form_id", "word").agg(F.max(F.col("sim") * F.col("w_value") * F.col("w_form")).alias("part"))
         .groupBy("value", "reading", "genre_id", "form_id").agg(F.sum("part").alias("score"))
         .groupBy("value").agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("genre_id")).alias("low"))).alias("best"))
     )
     score = F.coalesce(F.col("best.score"), F.lit(0.0))
-    return values.join(scores, "value", "left").select("value", F.when(score >= threshold, -F.col("best.low")).otherwise(F.lit(-1)).cast("long").alias("genre_id"), score.alias("score"))
+    return values.join(scores.hint("merge"), "value", "left").select("value", F.when(score >= threshold, -F.col("best.low")).otherwise(F.lit(-1)).cast("long").alias("genre_id"), score.alias("score"))
 
 
 def cases(candidates: DataFrame, entries: DataFrame) -> DataFrame:
