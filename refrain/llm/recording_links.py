@@ -121,10 +121,20 @@ def _hashes(parts: list[str]) -> np.ndarray:
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash for each pair of the hashes ``a`` and ``b``."""
-    x = ((a[:, None] ^ (b[None, :] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)).ravel()
+    x = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
     return x ^ (x >> np.uint64(29))
 
 
+def _crossed(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every pair of a row's hashes in ``a`` and in ``b``."""
+    na, nb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    both = na * nb
+    row = np.repeat(np.arange(len(a)), both)
+    place = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+    left, right = np.concatenate(a), np.concatenate(b)
+    return row, _mixed(left[(np.cumsum(na) - na)[row] + place // nb[row]], right[(np.cumsum(nb) - nb)[row] + place % nb[row]])
+
+
 @lru_cache(maxsize=20_000)
 def _title_hashes(words: tuple[str, ...], takes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a title for rules 1, 2 and 3, and of the title without one word (without one letter, if it is one word) for rule 4."""
@@ -147,13 +157,21 @@ def _artist_hashes(artist: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     return _hashes(list(dict.fromkeys(telling))), _hashes(sorted(parts))
 
 
-def keys_of(code: str, words: tuple[str, ...], takes: int, artist: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, keys) of a record for every rule."""
-    first, second, third, fourth = _title_hashes(words, takes)
-    telling, parts = _artist_hashes(artist)
-    own = _hashes([code]) if code else telling[:0]
-    keys = [_mixed(own, first), _mixed(second, telling), _mixed(third, parts), _mixed(fourth, telling), _mixed(own, telling)]
-    return np.repeat(np.arange(1, 6, dtype=np.int32), [len(k) for k in keys]), np.concatenate(keys)
+def keys_of(records: list[tuple[str, tuple[str, ...], int, tuple[str, ...]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rules, keys) of records (code, words, takes, artist) for every rule, by row."""
+    none = np.zeros(0, dtype=np.uint64)
+    if not records:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), none
+    titles = [_title_hashes(words, takes) for _, words, takes, _ in records]
+    artists = [_artist_hashes(artist) for *_, artist in records]
+    codes = [_hashes([c]) if c else none for c, *_ in records]
+    first, second, third, fourth = ([t[k] for t in titles] for k in range(4))
+    telling, parts = ([x[k] for x in artists] for k in range(2))
+    each = [_crossed(codes, first), _crossed(second, telling), _crossed(third, parts), _crossed(fourth, telling), _crossed(codes, telling)]
+    rows, keys = np.concatenate([r for r, _ in each]), np.concatenate([k for _, k in each])
+    rules = np.repeat(np.arange(1, 6, dtype=np.int32), [len(k) for _, k in each])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], rules[order], keys[order]
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -233,14 +251,15 @@ def sheet_keys(sheets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            known, records = [], []
             for i, title, performer, code, length in zip(b["sheet_id"], b["work_title"], b["performer"], b["code"], b["length"]):
                 c, s = code_of(code), seconds_of(length)
                 words, takes = title_of(title) if title else ((), 0)
-                artist = artist_of(" ".join(reversed(performer.split(",", 1)))) if performer else ()
-                rules, keys = keys_of(c, words, takes, artist)
-                rows.extend((k, r, i, title, performer, c, s, "".join(words)) for r, k in zip(rules.tolist(), keys.view(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["key", "rule", "sheet_id", "work_title", "performer", "code", "seconds", "work_key"])
+                records.append((c, words, takes, artist_of(" ".join(reversed(performer.split(",", 1)))) if performer else ()))
+                known.append((i, title, performer, c, s, "".join(words)))
+            rows, rules, keys = keys_of(records)
+            out = [(k, r, *known[row]) for row, r, k in zip(rows.tolist(), rules.tolist(), keys.view(np.int64).tolist())]
+            yield pd.DataFrame(out, columns=["key", "rule", "sheet_id", "work_title", "performer", "code", "seconds", "work_key"])
 
     distinct = sheets.select("sheet_id", "work_title", "performer", "code", "length").where(F.col("sheet_id").isNotNull()).distinct()
     return distinct.mapInPandas(run, "key long, rule int, sheet_id long, work_title string, performer string, code string, seconds double, work_key string")
@@ -270,23 +289,20 @@ def candidate_hits(candidates: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.unpackbits(shared.value).view(bool)
         for b in batches:
-            rows, rules, keys = [], [], []
+            known, records = [], []
             for i, title, artist, code, length in zip(b["candidate_id"], b["title"], b["artist"], b["isrc"], b["duration_s"]):
                 if not title or not artist or not title.strip() or not artist.strip():
                     continue
                 c = code_of(code)
                 words, takes = title_of(title)
-                own = keys_of(c, words, takes, artist_of(artist))
-                rules.append(own[0])
-                keys.append(own[1])
-                rows.append((i, title, artist, c, length, "".join(words)))
-            ends = np.cumsum([len(k) for k in keys])
-            k, r = (np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((keys, np.uint64), (rules, np.int32)))
+                records.append((c, words, takes, artist_of(artist)))
+                known.append((i, title, artist, c, length, "".join(words)))
+            rows, rules, k = keys_of(records)
             kept = np.flatnonzero(table[(k % np.uint64(BLOOM_BITS)).astype(np.int64)] & table[((k >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)])
             held: dict[int, list[dict]] = {}
-            for row, rule, key in zip(np.searchsorted(ends, kept, side="right").tolist(), r[kept].tolist(), k[kept].view(np.int64).tolist()):
+            for row, rule, key in zip(rows[kept].tolist(), rules[kept].tolist(), k[kept].view(np.int64).tolist()):
                 held.setdefault(row, []).append({"rule": rule, "key": key})
-            yield pd.DataFrame([(*rows[row], hits) for row, hits in held.items()], columns=["candidate_id", "title", "artist", "isrc", "length", "title_key", "hits"])
+            yield pd.DataFrame([(*known[row], hits) for row, hits in held.items()], columns=["candidate_id", "title", "artist", "isrc", "length", "title_key", "hits"])
 
     c = candidates.select("candidate_id", "title", "artist", "isrc", "duration_s").where(F.col("candidate_id").isNotNull() & F.col("title").isNotNull() & F.col("artist").isNotNull())
     return c.mapInPandas(run, "candidate_id long, title string, artist string, isrc string, length double, title_key string, hits array<struct<rule: int, key: long>>")
