@@ -53,3 +53,73 @@ def number_of(c: Column) -> Column:
 def expires(at: Column, days: int) -> Column:
     """The end of a life of ``days``."""
     return at + F.expr(f"INTERVAL {int(days)} DAYS")
+
+
+def minus(a: Column, b: Column) -> Column:
+    """A difference that ends at 0."""
+    return F.greatest(a - b, F.lit(0))
+
+
+def least_salvage(seconds: Column) -> Column:
+    """The shortest length worth saving of a damaged recording."""
+    return F.greatest(F.least(seconds * 0.5, seconds - 1.0), F.lit(1.0))
+
+
+def byte_range(header: Column, total: Column) -> Column:
+    """struct(first, last, ok) of a range header; without a header all is null and ok, ranges that can't be served are not ok."""
+    number = lambda c: F.when(c.rlike(r"^\+?[0-9]+$"), c.try_cast("long"))
+    p = r"^bytes=([^,-]*)-([^,]*)$"
+    a, b = F.regexp_extract(header, p, 1), F.regexp_extract(header, p, 2)
+    first = F.when(a == "", minus(total, number(b))).otherwise(number(a))
+    last = F.when((a == "") | (b == ""), total - 1).otherwise(F.least(number(b), total - 1))
+    fits = F.when(a == "", number(b) > 0).otherwise((number(a) < total) & ((b == "") | number(b).isNotNull()) & (last >= number(a)))
+    ok = header.isNull() | (header.rlike(p) & F.coalesce(fits, F.lit(False)))
+    given = ok & header.isNotNull()
+    return F.struct(F.when(given, first).alias("first"), F.when(given, last).alias("last"), ok.alias("ok"))
+
+
+def iso_minutes(c: Column) -> Column:
+    """Seconds of ``PT<minutes>M<seconds>S``, where both must be there."""
+    p = r"^PT([0-9.]+)M([0-9.]+)S$"
+    part = lambda i: F.regexp_extract(c, p, i).try_cast("double")
+    return F.when(c.rlike(p), part(1) * 60.0 + part(2))
+
+
+def english_date(c: Column) -> Column:
+    """D3: ``Mar 5, 2020`` as ``2020-03-05``; null for any other text."""
+    return F.date_format(F.try_to_timestamp(F.trim(c), F.lit("MMM d, yyyy")), "yyyy-MM-dd")
+
+
+def slash_date(c: Column) -> Column:
+    """D3: ``05/03/2020``, day first, as ``2020-03-05``; null for any other text."""
+    return F.date_format(F.try_to_timestamp(F.trim(c), F.lit("d/M/yyyy")), "yyyy-MM-dd")
+
+
+def epoch_date(seconds: Column) -> Column:
+    """The UTC day of epoch seconds."""
+    return F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
+
+
+def year_run(c: Column) -> Column:
+    """The first run of exactly four digits that begins with 1 or 2."""
+    return F.nullif(F.regexp_extract(c, r"(?<![0-9])([12][0-9]{3})(?![0-9])", 1), F.lit(""))
+
+
+def day_over(last: Column, now: Column, zone: str) -> Column:
+    """Whether a local day has begun since ``last`` (both timestamps without zone, in UTC); a missing ``last`` counts as long ago."""
+    local = lambda t: F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), t))
+    return F.coalesce(local(last) < local(now), F.lit(True))
+
+
+def within(c: Column, low: float, high: float) -> Column:
+    """Whether a number is there, finite and in a range."""
+    return F.coalesce(c.between(low, high) & ~F.isnan(c), F.lit(False))
+
+
+def signed(c: Column, digits: int, unit: str = "") -> Column:
+    """A number with its sign and ``digits`` after the point."""
+    return F.format_string(f"%+.{digits}f{unit}", c.cast("double"))
+
+
+def fixed(c: Column, digits: int, unit: str = "") -> Column:
+    return F.format_string(f"%.{digits}f{unit}", c.cast("double"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 FILLERS = ("a", "an", "the", "such")
 DASHES = (" - ", " – ", " — ", " − ", " ‐ ")
 PLACEHOLDERS = ("unknown", "unknown artist", "unknown album", "unknown title", "untitled")
-# Entities, decoded in this order, and words of takes by tag.
-ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#x27;", "'"))
+# Entities of pages, and of another kind of page, decoded in this order; words of takes by tag.
+ENTITIES = (("&amp;", "&"), ("&#038;", "&"), ("&#38;", "&"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&#8211;", "–"), ("&#8217;", "’"), ("&nbsp;", " "))
+FEW_ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"))
 VERSION_TAGS = {"acoustic": ("acoustic", "unplugged"), "demo": ("demo",), "duet": ("duet",), "instrumental": ("instrumental",), "karaoke": ("karaoke",), "live": ("live",), "remix": ("remix", "mix"), "slowed": ("slowed",), "sped": ("sped",), "stripped": ("stripped",), "symphony": ("symphony", "symphonic")}
 _SPACE = r"[\s\p{Z}]"
 _OTHER = r"[^\p{L}\p{N}]+"
@@ -197,9 +198,9 @@ def filename_parts(name: Column) -> Column:
     return F.when((left != "") & (right != ""), F.struct(left.alias("artist"), right.alias("title")))
 
 
-def decode_entities(c: Column) -> Column:
-    """Entities decoded one after the other, ``&amp;`` first, so what it yields may decode again."""
-    for entity, char in ENTITIES:
+def decode_entities(c: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
+    """T17 (T18 with ``FEW_ENTITIES``): entities decoded one after the other, ``&amp;`` first, so what it yields may decode again."""
+    for entity, char in entities:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
@@ -220,9 +221,36 @@ def safe_name(c: Column, fallback: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(clean, r"^[. ]+|[. ]+$", ""), F.lit("")), F.lit(fallback))
 
 
-def cache_key(prefix: str, c: Column) -> Column:
-    """A prefix and the hash of the text in ASCII lower case with single spaces."""
-    return F.concat(F.lit(prefix), F.sha2(F.trim(F.regexp_replace(ascii_lower(c), r"\s+", " ")), 256))
+def within_bytes(c: Column, most: int) -> Column:
+    """As many whole characters as fit into ``most`` bytes of UTF-8, without spaces at the end if anything was cut."""
+    raw = F.encode(c, "utf-8")
+    # a character's first byte is no continuation (10......); the cut goes back to one
+    back = F.coalesce(*[F.when((F.conv(F.hex(F.substring(raw, most + 1 - k, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xC0))) != 0x80, F.lit(k)) for k in range(4)])
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(F.decode(F.substring(raw, F.lit(1), F.lit(most) - back), "utf-8"), rf"{_SPACE}+$", ""))
+
+
+def output_name(artist: Column, title: Column, extension: Column) -> Column:
+    """The file name of a record, its base of at most 220 bytes, with its extension in lower case if there is one."""
+    base = within_bytes(F.concat(safe_name(artist, "Unknown Artist"), F.lit(" - "), safe_name(title, "Unknown Title")), 220)
+    return F.concat(base, F.when(F.coalesce(extension, F.lit("")) != "", F.concat(F.lit("."), ascii_lower(extension))).otherwise(F.lit("")))
+
+
+def fingerprint_key(c: Column) -> Column:
+    """A fingerprint's cache key, by its hash."""
+    return F.concat(F.lit("fingerprint:"), F.sha2(ws_trim(c), 256))
+
+
+def recording_key(c: Column) -> Column:
+    return F.concat(F.lit("recording:"), ascii_lower(ws_trim(c)))
+
+
+def release_key(c: Column) -> Column:
+    return F.concat(F.lit("release:"), ascii_lower(ws_trim(c)))
+
+
+def search_key(c: Column) -> Column:
+    """A search's cache key, in ASCII lower case with single spaces."""
+    return F.concat(F.lit("search:"), ascii_lower(F.trim(F.regexp_replace(c, rf"{_SPACE}+", " "))))
 
 
 def _cut_last(c: Column, mark: str) -> tuple[Column, Column]:
@@ -252,3 +280,159 @@ def clean_tags(frame: DataFrame, artist: str, title: str, album: str) -> DataFra
     use = (F.coalesce(F.col(artist), F.lit("")) == "") & t.isNotNull()
     three = two.select(*kept, F.when(use, a).otherwise(F.col(artist)).alias(artist), F.when(use, t).otherwise(F.col(title)).alias(title), album)
     return three.withColumn(artist, ws_trim(F.regexp_replace(ws_trim(F.col(artist)), "^[,،;؛]+|[,،;؛]+$", ""))).select(*frame.columns)
+
+
+# Separators of credit and title in order of preference, ends that videos have, and extensions of audio files.
+CREDIT_MARKS = (" - ", " – ", " — ", " | ")
+VIDEO_ENDS = (" (official video)", " [official video]", " (official audio)", " [official audio]", " (lyrics)", " [lyrics]", " (lyric video)", " | official music video", " | official video", " | official audio")
+AUDIO_ENDS = (".mp3", ".m4a", ".flac", ".wav", ".ogg", ".opus")
+SUPPORTED = ("mp3", "flac", "m4a", "ogg", "opus", "wav", "aiff", "aif")
+# Names of containers that a prober reports, and of file types that a tag reader reports, by format.
+MP4_NAMES = ("mov", "mp4", "m4a", "3gp", "3g2", "mj2")
+FILE_TYPES = {"Aac": "aac", "Aiff": "aiff", "Ape": "ape", "Flac": "flac", "Mpeg": "mp3", "Mp4": "m4a", "Mpc": "mpc", "Opus": "opus", "Vorbis": "ogg", "Speex": "spx", "Wav": "wav", "WavPack": "wv"}
+# Artwork sizes and their larger kind.
+SOUNDCLOUD_SIZES = ("-large.", "-t300x300.", "-t200x200.", "-t120x120.", "-t67x67.", "-small.", "-tiny.")
+SPOTIFY_SIZES = ("ab67616d00001e02", "ab67616d00004851")
+
+
+def split_credit(c: Column) -> Column:
+    """struct(artist, title) at the first separator in list order that leaves something on both sides; null if none does."""
+    found = []
+    for mark in CREDIT_MARKS:
+        left, right = ws_trim(_before(c, F.lit(mark))), ws_trim(F.substring(c, F.instr(c, mark) + len(mark), F.lit(1 << 30)))
+        found.append(F.when((F.instr(c, mark) > 0) & (left != "") & (right != ""), F.struct(left.alias("artist"), right.alias("title"))))
+    return F.coalesce(*found)
+
+
+def credited(explicit: Column, title: Column) -> Column:
+    """Struct(artist, title): the title's own credit where no artist is given, or the same one; else the title as it is by the artist given."""
+    own = split_credit(title)
+    use = own.isNotNull() & (explicit.isNull() | (compact_key(own["artist"]) == compact_key(explicit)))
+    return F.struct(F.coalesce(explicit, F.when(use, own["artist"])).alias("artist"), F.when(use, own["title"]).otherwise(title).alias("title"))
+
+
+def _without_end(c: Column, ends: tuple[str, ...]) -> Column:
+    """Without the first of ``ends``, in any case, that ``c`` ends with."""
+    cut = F.coalesce(*[F.when(F.endswith(ascii_lower(c), F.lit(e)), F.substring(c, F.lit(1), F.char_length(c) - len(e))) for e in ends])
+    return F.coalesce(cut, c)
+
+
+def clean_video_title(c: Column) -> Column:
+    """A video's title without the first end that videos have."""
+    return ws_trim(_without_end(ws_trim(c), VIDEO_ENDS))
+
+
+def strip_audio_extension(c: Column) -> Column:
+    """Without the extension of an audio file."""
+    return _without_end(c, AUDIO_ENDS)
+
+
+def larger_spotify(c: Column) -> Column:
+    """An artwork's address at full size."""
+    for size in SPOTIFY_SIZES:
+        c = F.replace(c, F.lit(size), F.lit("ab67616d0000b273"))
+    return c
+
+
+def larger_soundcloud(c: Column) -> Column:
+    for size in SOUNDCLOUD_SIZES:
+        c = F.replace(c, F.lit(size), F.lit("-t500x500."))
+    return c
+
+
+def larger_itunes(c: Column) -> Column:
+    return F.replace(c, F.lit("100x100bb"), F.lit("1200x1200bb"))
+
+
+def wide_image(c: Column) -> Column:
+    """An image's address without its query, at a fixed width."""
+    return F.concat(_before(c, F.lit("?")), F.lit("?width=1600&format=jpg"))
+
+
+def without_site(c: Column) -> Column:
+    """An album's name without ``| site.com`` and the like."""
+    end = ascii_lower(F.substring(c, F.instr(c, "|") + 1, F.lit(1 << 30)))
+    return F.when((F.instr(c, "|") > 0) & end.rlike(r"\.(?:com|net|org|ir)"), ws_trim(_before(c, F.lit("|")))).otherwise(ws_trim(c))
+
+
+def description_field(c: Column, *keys: str) -> Column:
+    """The value of the first line ``key: value`` with one of ``keys``, in any case, that has one."""
+    lines = F.split(c, r"\r?\n")
+    pairs = F.transform(F.filter(lines, lambda x: F.instr(x, ":") > 0), lambda x: F.struct(ascii_lower(ws_trim(_before(x, F.lit(":")))).alias("k"), ws_trim(F.substring(x, F.instr(x, ":") + 1, F.lit(1 << 30))).alias("v")))
+    return F.get(F.filter(pairs, lambda p: p["k"].isin(*[k.lower() for k in keys]) & (p["v"] != "")), F.lit(0))["v"]
+
+
+def extension_of(path: Column) -> Column:
+    """The extension of a path's file name in ASCII lower case; '' if there is none."""
+    return ascii_lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+
+
+def is_supported(path: Column) -> Column:
+    """S3: whether a path's extension is one of an audio file."""
+    return extension_of(path).isin(*SUPPORTED)
+
+
+def probe_format(format_name: Column, codec: Column, path: Column) -> Column:
+    """The format of what a prober reports, else the path's extension."""
+    name = F.coalesce(format_name, F.lit(""))
+    return (
+        F.when(F.arrays_overlap(F.split(name, ","), F.array(*[F.lit(n) for n in MP4_NAMES])), "m4a").when(name.contains("mp3"), "mp3").when(name.contains("flac"), "flac")
+        .when(name.contains("ogg"), F.when(F.coalesce(codec, F.lit("")) == "opus", "opus").otherwise("ogg")).otherwise(extension_of(path))
+    )
+
+
+def reader_format(file_type: Column, path: Column) -> Column:
+    """The format of a tag reader's file type, else the path's extension as written."""
+    known = F.create_map(*[F.lit(x) for pair in FILE_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, file_type), F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+
+
+def search_tags(frame: DataFrame, stem_of: str, artist: str, title: str, album: str, album_artist: str) -> DataFrame:
+    """``frame`` with placeholders filled from the file's stem (underscores are spaces); placeholders of albums become null.
+
+    A stem ``Artist - Title`` gives both tags if either is a placeholder; any other stem gives the title only.
+    """
+    name = F.replace(F.col(stem_of), F.lit("_"), F.lit(" "))
+    both, poor = filename_parts(name), is_placeholder(F.col(artist)) | is_placeholder(F.col(title))
+    use, lone = both.isNotNull() & poor, both.isNull() & is_placeholder(F.col(title))
+    new = {artist: F.when(use, both["artist"]).otherwise(F.col(artist)), title: F.when(use, both["title"]).when(lone, ws_trim(name)).otherwise(F.col(title)), **{c: F.when(~is_placeholder(F.col(c)), F.col(c)) for c in (album, album_artist)}}
+    return frame.select(*[new[c].alias(c) if c in new else F.col(c) for c in frame.columns])
+
+
+def similar_keys(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts are alike by their compact keys: one begins the other, or T1 reaches ``least``; blank texts never are.
+
+    A text of signs alone has an empty key, which begins every other.
+    """
+    x, y = compact_key(a), compact_key(b)
+    return F.coalesce((ws_trim(a) != "") & (ws_trim(b) != "") & (x.startswith(y) | y.startswith(x) | (similarity(x, y) >= least)), F.lit(False))
+
+
+def release_defaults(album: Column, album_artist: Column, artist: Column) -> Column:
+    """struct(album, album_artist): ``Single`` for an album that is blank or has that word, the artist for a blank album artist."""
+    single = (F.coalesce(ws_trim(album), F.lit("")) == "") | F.exists(F.split(album, _OTHER), lambda w: ascii_lower(w) == "single")
+    return F.struct(F.when(single, F.lit("Single")).otherwise(album).alias("album"), F.when(F.coalesce(ws_trim(album_artist), F.lit("")) == "", artist).otherwise(album_artist).alias("album_artist"))
+
+
+def image_type(data: Column) -> Column:
+    """The media type of an image by its first bytes."""
+    begins = lambda text: F.startswith(data, F.lit(text))
+    return F.when(begins(b"\x89PNG\r\n\x1a\n"), "image/png").when(begins(b"GIF8"), "image/gif").when(begins(b"RIFF") & (F.substring(data, 9, 4) == F.lit(b"WEBP")), "image/webp").otherwise("image/jpeg")
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether one of two paths is the other or holds it, part by part."""
+    x, y = F.concat(F.rtrim(F.lit("/"), a), F.lit("/")), F.concat(F.rtrim(F.lit("/"), b), F.lit("/"))
+    return x.startswith(y) | y.startswith(x)
+
+
+def holds_text(query: Column, *columns: Column) -> Column:
+    """Whether one of ``columns`` holds ``query``, in any case; a blank query is held by all."""
+    q = F.lower(ws_trim(query))
+    return (q == "") | F.exists(F.array(*columns), lambda c: F.coalesce(F.lower(c).contains(q), F.lit(False)))
+
+
+def refusal(error: Column) -> Column:
+    """Why a source is left out after an error: ``authentication``, ``rate`` or ``timeout``; null for other errors."""
+    e = ascii_lower(error)
+    return F.when(e.contains("401 unauthorized"), "authentication").when(e.contains("429 too many requests"), "rate").when(e.contains("504 gateway timeout") | e.contains("timed out"), "timeout")
