@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from refrain.functions import numbers as N
 from refrain.functions import text as T
+from refrain.skew import spread_out
 
 # Points of trust by provider, of which those of 5 points are credible catalogues, and the priority up to which O1 trusts a provider.
 TRUST = {
@@ -40,18 +41,25 @@ def agreement(rows: DataFrame) -> DataFrame:
     ``rows``: block, ord, provider, title, artist, album, code, score, audio. A source that agrees
     gives 6 points once, up to 98 (99 with audio); one that conflicts takes 4 once, down to 0, in
     the order of ``ord``. The block is a small unit such as a track; null blocks meet nothing. Both
-    directions are kept, as the rule is not symmetric.
+    directions are kept, as the rule is not symmetric. Texts are held against each other once a block,
+    however many rows have them, and a text's first row of a source stands for all of them.
     """
-    o = rows.select(*[F.col(c).alias(f"o_{c}") for c in ("block", "ord", "provider", "title", "artist", "album", "code")])
-    met = rows.join(o, (F.col("block") == F.col("o_block")) & (F.col("provider") != F.col("o_provider")))
-    title, artist = T.similarity_ascii(F.col("title"), F.col("o_title")), T.similarity_ascii(F.col("artist"), F.col("o_artist"))
-    filled = lambda a, b: F.coalesce((T.ws_trim(F.col(a)) != "") & (T.ws_trim(F.col(b)) != ""), F.lit(False))
-    met = met.withColumn("_t", F.when(filled("title", "o_title"), title).otherwise(0.0)).withColumn("_a", F.when(filled("artist", "o_artist"), artist).otherwise(0.0))
-    albums = ~filled("album", "o_album") | (T.similarity_ascii(F.col("album"), F.col("o_album")) >= 0.65)
-    agree = F.coalesce(F.upper("code") == F.upper("o_code"), F.lit(False)) | ((F.col("_t") >= 0.82) & (F.col("_a") >= 0.75) & albums)
-    sign = F.when(agree, 1).when((F.col("_t") >= 0.55) & ~(F.col("_a") >= 0.55), -1).otherwise(0)
-    signed = met.select("block", "ord", "o_provider", "o_ord", sign.alias("s")).where("s <> 0")
-    once = signed.groupBy("block", "ord", "o_provider", "s").agg(F.min("o_ord").alias("at"))
+    filled = lambda c: F.when(T.ws_trim(F.col(c)) != "", T.ascii_lower(F.col(c)))
+    texts = ["_title", "_artist", "_album", "_code"]
+    said = rows.where(F.col("block").isNotNull() & F.col("provider").isNotNull()).select("block", "ord", "provider", filled("title").alias("_title"), filled("artist").alias("_artist"), filled("album").alias("_album"), F.upper("code").alias("_code"))
+    first = said.groupBy("block", *texts, "provider").agg(F.min("ord").alias("o_ord"))
+    kinds = spread_out(first.groupBy("block", *texts).agg(F.collect_list(F.struct(F.col("provider").alias("o_provider"), "o_ord")).alias("by")), "block")  # a source is one row
+    o = kinds.select(F.col("block").alias("o_block"), *[F.col(c).alias(f"o{c}") for c in texts], F.col("by").alias("o_by"))
+    met = kinds.drop("by").join(o, F.col("block") == F.col("o_block"))
+    alike = lambda c: F.coalesce(T.similarity(F.col(c), F.col(f"o{c}")), F.lit(0.0))
+    coded, albums = F.coalesce(F.col("_code") == F.col("o_code"), F.lit(False)), F.coalesce(T.similarity(F.col("_album"), F.col("o_album")) >= 0.65, F.lit(True))
+    t, a = alike("_title"), alike("_artist")
+    sign = F.when(coded, 1).when(t < 0.55, 0).when((a >= 0.75) & albums & (t >= 0.82), 1).when(a < 0.55, -1).otherwise(0)  # most pairs end at their titles
+    signed = met.select("block", *texts, "o_by", sign.alias("s")).where("s <> 0").select("block", *texts, "s", F.inline("o_by"))
+    held = signed.groupBy("block", *texts, "o_provider", "s").agg(F.min("o_ord").alias("o_ord")).groupBy("block", *texts).agg(F.collect_list(F.struct("o_provider", "s", "o_ord")).alias("held"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in texts]
+    mine = said.alias("r").join(held.alias("h"), [F.col("r.block") == F.col("h.block"), *same]).select("r.block", "r.ord", F.filter("held", lambda x: x["o_provider"] != F.col("provider")).alias("held")).repartition("block", "ord")  # as short as they are for the shuffle
+    once = mine.select("block", "ord", F.inline("held")).groupBy("block", "ord", "o_provider", "s").agg(F.min("o_ord").alias("at"))
     steps = once.groupBy("block", "ord").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("steps"))
     cap = F.when(F.col("audio"), 99.0).otherwise(98.0)
     fold = F.aggregate("steps", F.col("score").cast("double"), lambda acc, x: F.when(x["s"] > 0, F.least(acc + 6.0, cap)).otherwise(F.greatest(acc - 4.0, F.lit(0.0))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from datetime import datetime
 
 import pytest
@@ -104,6 +105,19 @@ def test_agreement_folds_in_order(spark):
     assert got[3]["score"] == 0.0 and got[4]["score"] == 5.0
 
 
+def test_agreement_of_a_large_block(spark):
+    texts = [("Song One", "Artist"), ("Song One", "Other name"), ("Far away", "Artist")]
+    cols = "block string, ord long, provider string, title string, artist string, album string, code string, score double, audio boolean"
+    rows = [("b", i, "pqrs"[i % 4], *texts[i // 4 % 3], None, None, 97.0, False) for i in range(20000)]  # 300 million pairs of rows, 9 of texts
+    limit = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    limit.start()
+    try:
+        got = matching.agreement(spark.createDataFrame(rows, cols)).select((F.floor(F.col("ord") / 4) % 3).alias("t"), "score", "n_agree", "n_conflict").groupBy("t", "score", "n_agree", "n_conflict").count().collect()
+    finally:
+        limit.cancel()
+    assert sorted(map(tuple, got)) == [(0, 86.0, 3, 3, 6668), (1, 98.0, 3, 3, 6668), (2, 98.0, 3, 0, 6664)]
+
+
 def test_scores(spark):
     assert one(spark, matching.fingerprint_score(F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(False))) >= 99
     assert one(spark, matching.text_score(F.lit(0.96), F.lit(1.0), F.lit(None).cast("double"), F.lit(False), F.lit(True), F.lit(0.1), F.lit(94.0))) >= 90
