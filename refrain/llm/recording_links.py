@@ -11,7 +11,8 @@ Confidence is each rule's precision on labelled pairs, with add-one smoothing. F
 at most about ``LABELLED`` candidates whose code some sheet has, chosen by hash. The labels are what a rule does not
 use: agreeing codes for rules without the code, agreeing lengths for the others.
 
-Before the shuffle a Bloom filter of the sheets' keys drops keys that no sheet has. Its size is
+Before the shuffle a Bloom filter of the sheets' keys drops keys that no sheet has. A second one, of the titles and codes
+that those keys are made of, is asked first: a candidate none of whose titles and codes any sheet has needs no keys. Their size is
 fixed (``BLOOM_BITS``), so what is broadcast does not grow; a full filter only drops less.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ from refrain.llm.lookalikes import comparable
 from refrain.llm.name_variants import _CONNECT, _EXPANDED, _FORMAL, fold, one_apart, read
 from refrain.skew import hot_keys, spread_join
 
-#: Bits of the filter of the sheets' keys (2 MB), share of all title words from which a word is frequent, seconds by which lengths may differ.
+#: Bits of each filter of the sheets' keys (2 MB), share of all title words from which a word is frequent, seconds by which lengths may differ.
 BLOOM_BITS, FREQUENT_SHARE, SECONDS = 1 << 24, 1e-4, 8.0
 #: Labelled candidates on which the precision of the rules is measured, about.
 LABELLED = 20_000
@@ -50,11 +51,17 @@ _SIDE = re.compile(r"\s*(?:[–/-]\s*[A-D]\d|\*+)\s*$")
 _BRACKET = re.compile(r"[(\[]([^)\]]*)[)\]]")
 _TAIL = re.compile(r"\s-\s([^-]+)$")
 _NAME = re.compile(r"[^\W\d_]+\.?|\d+")
+_WORDS = re.compile(r"[^\W_]+")
+#: Text that ``comparable`` leaves as it is: Latin letters, dashes and quotes, without signs that show nothing and odd spaces.
+_AS_IT_IS = re.compile("[\x00-\x9f\xa1-\xac\xae-\u024f\u2010-\u201f]*")
+_NO_SIGN = re.compile(r"[^A-Z0-9]")
 
 
 def code_of(code: str | None) -> str:
     """A recording code without signs and prefix, or '' if it isn't one."""
-    c = re.sub(r"[^A-Z0-9]", "", (code or "").upper())
+    if not code:
+        return ""
+    c = _NO_SIGN.sub("", code.upper())
     c = c[4:] if c.startswith("ISRC") and len(c) == 16 else c
     return c if len(c) == 12 else ""
 
@@ -74,9 +81,10 @@ def seconds_of(length: str | None) -> float | None:
     return None
 
 
-def _take(words: list[str]) -> int | None:
+@lru_cache(maxsize=20_000)
+def _take(remark: str) -> int | None:
     """The take that a remark names, 0 for a remark without one, None if it's no remark."""
-    words = [fold(w) for w in words if w]
+    words = [fold(w) for w in _WORDS.findall(remark)]
     takes = [v for w in words for k, v in TAKES.items() if w == k or len(w) > 3 and one_apart(w, k)]
     rest = [w for w in words if not any(w == k or len(w) > 3 and one_apart(w, k) for k in [*TAKES, *REMARKS])]
     if not words or rest and not (takes and len(rest) < len(words) and all(w.isdigit() for w in rest)):
@@ -87,18 +95,19 @@ def _take(words: list[str]) -> int | None:
 @lru_cache(maxsize=20_000)
 def title_of(title: str) -> tuple[tuple[str, ...], int]:
     """(words of the title proper, takes) of a title: without guests, sides, remarks and articles."""
-    t = comparable(unicodedata.normalize("NFKC", title.replace("½", " half ")))
+    t = unicodedata.normalize("NFKC", title.replace("½", " half "))
+    t = t if _AS_IT_IS.fullmatch(t) else comparable(t)
     t = _FEAT.sub(" ", t)
     t = _SIDE.sub("", t)
     takes = 0
     for m in _BRACKET.findall(t):
-        if (k := _take(re.findall(r"[^\W_]+", m))) is not None:
+        if (k := _take(m)) is not None:
             takes |= k
             t = re.sub(r"[(\[]" + re.escape(m) + r"[)\]]", " ", t)
-    if (m := _TAIL.search(t)) and (k := _take(re.findall(r"[^\W_]+", m.group(1)))) is not None:
+    if (m := _TAIL.search(t)) and (k := _take(m.group(1))) is not None:
         takes |= k
         t = t[: m.start()]
-    words = [fold(w) for w in re.findall(r"[^\W_]+", t.replace("’", "").replace("'", ""))]
+    words = [fold(w) for w in _WORDS.findall(t.replace("’", "").replace("'", ""))]
     return tuple(w for w in words if w and w != "the"), takes
 
 
@@ -125,14 +134,25 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _crossed(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every pair of a row's hashes in ``a`` and in ``b``."""
-    na, nb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+def _flat(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all rows, how many each row has) of the hashes of each row."""
+    return np.concatenate(each), np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+
+
+def _left(each: tuple[np.ndarray, np.ndarray], passes: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``each`` (hashes, how many each row has) without the hashes that don't pass."""
+    kept = passes(each[0])
+    return each[0][kept], np.bincount(np.repeat(np.arange(len(each[1])), each[1])[kept], minlength=len(each[1]))
+
+
+def _crossed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, hash in ``a``) of every pair of a row's hashes in ``a`` and in ``b``."""
+    (left, na), (right, nb) = a, b
     both = na * nb
-    row = np.repeat(np.arange(len(a)), both)
+    row = np.repeat(np.arange(len(na)), both)
     place = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
-    left, right = np.concatenate(a), np.concatenate(b)
-    return row, _mixed(left[(np.cumsum(na) - na)[row] + place // nb[row]], right[(np.cumsum(nb) - nb)[row] + place % nb[row]])
+    one = left[(np.cumsum(na) - na)[row] + place // nb[row]]
+    return row, _mixed(one, right[(np.cumsum(nb) - nb)[row] + place % nb[row]]), one
 
 
 @lru_cache(maxsize=20_000)
@@ -157,41 +177,63 @@ def _artist_hashes(artist: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     return _hashes(list(dict.fromkeys(telling))), _hashes(sorted(parts))
 
 
-def keys_of(records: list[tuple[str, tuple[str, ...], int, tuple[str, ...]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, rules, keys) of records (code, words, takes, artist) for every rule, by row."""
+def keys_of(records: list[tuple[str, tuple[str, ...], int, str]], passes: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rules, keys, parts) of records (code, words, takes, artist) for every rule, by row; ``parts``: the hash of the title or code in each key.
+
+    ``passes``: which parts are wanted. Artists of records without any are not read.
+    """
     none = np.zeros(0, dtype=np.uint64)
     if not records:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), none
-    titles = [_title_hashes(words, takes) for _, words, takes, _ in records]
-    artists = [_artist_hashes(artist) for *_, artist in records]
-    codes = [_hashes([c]) if c else none for c, *_ in records]
-    first, second, third, fourth = ([t[k] for t in titles] for k in range(4))
-    telling, parts = ([x[k] for x in artists] for k in range(2))
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), none, none
+    first, second, third, fourth = map(_flat, zip(*(_title_hashes(words, takes) for _, words, takes, _ in records)))
+    codes = _flat([_hashes([c]) if c else none for c, *_ in records])
+    if passes:
+        codes, second, third, fourth = (_left(x, passes) for x in (codes, second, third, fourth))
+    read_on = (codes[1] + second[1] + third[1] + fourth[1] > 0).tolist()
+    telling, parts = map(_flat, zip(*(_artist_hashes(artist_of(r[3])) if on else (none, none) for r, on in zip(records, read_on))))
     each = [_crossed(codes, first), _crossed(second, telling), _crossed(third, parts), _crossed(fourth, telling), _crossed(codes, telling)]
-    rows, keys = np.concatenate([r for r, _ in each]), np.concatenate([k for _, k in each])
-    rules = np.repeat(np.arange(1, 6, dtype=np.int32), [len(k) for _, k in each])
+    rows, keys, ones = (np.concatenate([x[k] for x in each]) for k in range(3))
+    rules = np.repeat(np.arange(1, 6, dtype=np.int32), [len(x[1]) for x in each])
     order = np.argsort(rows, kind="stable")
-    return rows[order], rules[order], keys[order]
+    return rows[order], rules[order], keys[order], ones[order]
 
 
 def _distance(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps, given up beyond ``most``."""
+    """Edit distance with swaps, given up beyond ``most``: of what is left without a common begin and end, near the diagonal."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = [], list(range(len(b) + 1))
+    i, least = 0, min(len(a), len(b))
+    while i < least and a[i] == b[i]:
+        i += 1
+    a, b, least = a[i:], b[i:], least - i
+    i = 0
+    while i < least and a[-1 - i] == b[-1 - i]:
+        i += 1
+    a, b = a[: len(a) - i], b[: len(b) - i]
+    if not a or not b:
+        return len(a) + len(b)
+    far = most + 1
+    before, row = [], [j if j <= most else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            c = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+        new = [far] * (len(b) + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
+            c = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 c = min(c, before[j - 2] + 1)
-            new.append(c)
+            new[j] = min(c, far)
         if min(new) > most:
-            return most + 1
+            return far
         before, row = row, new
     return row[-1]
 
 
+#: The performers of sheets recur in many pairs.
+_read = lru_cache(maxsize=20_000)(read)
+
+
 def same_title(a: tuple[str, ...], b: tuple[str, ...], frequent: frozenset[str]) -> bool:
     """Whether two titles are one but for slips: at most two edits a word, no number and no two frequent words exchanged."""
     if a == b:
@@ -213,7 +255,7 @@ def same_title(a: tuple[str, ...], b: tuple[str, ...], frequent: frozenset[str])
 
 def same_artist(sheet: str | None, credit: tuple[str, ...]) -> bool:
     """Whether the performer of a sheet is the first artist of a credit; unknown performers agree with none."""
-    r = read(sheet)
+    r = _read(sheet)
     if r is None or not credit:
         return False
     _, full, given = r
@@ -241,13 +283,13 @@ def same_artist(sheet: str | None, credit: tuple[str, ...]) -> bool:
 def frequent_words(titles: DataFrame) -> frozenset[str]:
     """Words that make up at least ``FREQUENT_SHARE`` of all words of column ``title``: never more than 1 / share of them."""
     words = titles.where(F.col("title").isNotNull()).select(F.explode(F.split(F.lower("title"), r"[^\p{L}]+")).alias("word")).where(F.length("word") > 1)
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return frozenset(fold(r[0]) for r in counts.where(F.col("n") >= F.lit(max(3.0, FREQUENT_SHARE * total))).collect())
 
 
 def sheet_keys(sheets: DataFrame) -> DataFrame:
-    """(key, rule, sheet_id, work_title, performer, code, seconds) for each key of each distinct sheet."""
+    """(key, part, rule, sheet_id, work_title, performer, code, seconds, work_key) for each key of each distinct sheet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -255,39 +297,49 @@ def sheet_keys(sheets: DataFrame) -> DataFrame:
             for i, title, performer, code, length in zip(b["sheet_id"], b["work_title"], b["performer"], b["code"], b["length"]):
                 c, s = code_of(code), seconds_of(length)
                 words, takes = title_of(title) if title else ((), 0)
-                records.append((c, words, takes, artist_of(" ".join(reversed(performer.split(",", 1)))) if performer else ()))
+                records.append((c, words, takes, " ".join(reversed(performer.split(",", 1))) if performer else ""))
                 known.append((i, title, performer, c, s, "".join(words)))
-            rows, rules, keys = keys_of(records)
-            out = [(k, r, *known[row]) for row, r, k in zip(rows.tolist(), rules.tolist(), keys.view(np.int64).tolist())]
-            yield pd.DataFrame(out, columns=["key", "rule", "sheet_id", "work_title", "performer", "code", "seconds", "work_key"])
+            rows, rules, keys, parts = keys_of(records)
+            out = [(k, p, r, *known[row]) for row, r, k, p in zip(rows.tolist(), rules.tolist(), keys.view(np.int64).tolist(), parts.view(np.int64).tolist())]
+            yield pd.DataFrame(out, columns=["key", "part", "rule", "sheet_id", "work_title", "performer", "code", "seconds", "work_key"])
 
     distinct = sheets.select("sheet_id", "work_title", "performer", "code", "length").where(F.col("sheet_id").isNotNull()).distinct()
-    return distinct.mapInPandas(run, "key long, rule int, sheet_id long, work_title string, performer string, code string, seconds double, work_key string")
+    return distinct.mapInPandas(run, "key long, part long, rule int, sheet_id long, work_title string, performer string, code string, seconds double, work_key string")
+
 
+def _bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a filter."""
+    return (hashes % np.uint64(BLOOM_BITS)).astype(np.int64), ((hashes >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of column ``key``: ``BLOOM_BITS`` bits, two hashes; joined from at most eight parts."""
+
+def key_filters(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bloom filters of the columns ``key`` and ``part``: ``BLOOM_BITS`` bits each, two hashes; joined from at most eight parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(BLOOM_BITS, dtype=bool)
+        both = np.zeros((2, BLOOM_BITS), dtype=bool)
         for b in batches:
-            k = b["key"].to_numpy().view(np.uint64)
-            bits[(k % np.uint64(BLOOM_BITS)).astype(np.int64)] = True
-            bits[((k >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+            for bits, name in zip(both, ("key", "part")):
+                one, other = _bits_of(b[name].to_numpy().view(np.uint64))
+                bits[one] = bits[other] = True
+        yield pd.DataFrame({"bits": [np.packbits(both).tobytes()]})
 
-    out = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for r in keys.select("key").coalesce(8).mapInPandas(run, "bits binary").toLocalIterator():
+    out = np.zeros(2 * BLOOM_BITS // 8, dtype=np.uint8)
+    for r in keys.select("key", "part").coalesce(8).mapInPandas(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r[0], dtype=np.uint8)
-    return out
+    return out[: BLOOM_BITS // 8], out[BLOOM_BITS // 8 :]
 
 
-def candidate_hits(candidates: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(candidate_id, title, artist, isrc, length, title_key, hits) of candidates with keys that the filter lets pass; ``hits``: their rules and keys."""
-    shared = candidates.sparkSession.sparkContext.broadcast(bits)
+def candidate_hits(candidates: DataFrame, filters: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(candidate_id, title, artist, isrc, length, title_key, hits) of candidates with keys that the filters let pass; ``hits``: their rules and keys."""
+    shared = candidates.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.unpackbits(shared.value).view(bool)
+        key_table, part_table = (np.unpackbits(x).view(bool) for x in shared.value)
+
+        def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+            one, other = _bits_of(hashes)
+            return table[one] & table[other]
+
         for b in batches:
             known, records = [], []
             for i, title, artist, code, length in zip(b["candidate_id"], b["title"], b["artist"], b["isrc"], b["duration_s"]):
@@ -295,10 +347,10 @@ def candidate_hits(candidates: DataFrame, bits: np.ndarray) -> DataFrame:
                     continue
                 c = code_of(code)
                 words, takes = title_of(title)
-                records.append((c, words, takes, artist_of(artist)))
+                records.append((c, words, takes, artist))
                 known.append((i, title, artist, c, length, "".join(words)))
-            rows, rules, k = keys_of(records)
-            kept = np.flatnonzero(table[(k % np.uint64(BLOOM_BITS)).astype(np.int64)] & table[((k >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)])
+            rows, rules, k, _ = keys_of(records, lambda x: passes(part_table, x))
+            kept = np.flatnonzero(passes(key_table, k))
             held: dict[int, list[dict]] = {}
             for row, rule, key in zip(rows[kept].tolist(), rules[kept].tolist(), k[kept].view(np.int64).tolist()):
                 held.setdefault(row, []).append({"rule": rule, "key": key})
@@ -326,8 +378,7 @@ def verified(met: DataFrame, frequent: frozenset[str]) -> DataFrame:
         for t, a, w, p, c in zip(title, artist, work_title, performer, same_code):
             (x, m), (y, n) = title_of(t), title_of(w) if w else ((), 0)
             by_title = m == n and same_title(x, y, known) if w else bool(c)
-            by_artist = same_artist(p, artist_of(a)) if p else bool(c) and bool(w)
-            out.append(by_title and by_artist)
+            out.append(by_title and (same_artist(p, artist_of(a)) if p else bool(c) and bool(w)))
         return pd.Series(out)
 
     off = F.abs(F.col("length") - F.col("seconds"))
@@ -335,14 +386,14 @@ def verified(met: DataFrame, frequent: frozenset[str]) -> DataFrame:
     same_code = (F.col("isrc") != "") & (F.col("isrc") == F.col("code"))
     rows = met.withColumn("same_code", same_code).where(near)
     ok = rows.where(agree("title", "artist", "work_title", "performer", "same_code"))
-    return ok.select("candidate_id", "sheet_id", F.when((F.col("isrc") != "") & (F.col("code") != ""), F.col("same_code")).alias("code_says"), (off <= 4.0).alias("length_says"))
+    return ok.select("candidate_id", "sheet_id", *[c for c in ok.columns if c == "rules"], F.when((F.col("isrc") != "") & (F.col("code") != ""), F.col("same_code")).alias("code_says"), (off <= 4.0).alias("length_says"))
 
 
 def met_by(open_: DataFrame, keys: DataFrame, rule: int, hot: DataFrame) -> DataFrame:
     """The pairs of ``open_`` and sheets that share a key of ``rule``, each once, without those that no verification would pass; ``hot`` keys are split."""
     asked = open_.select("*", F.explode(F.filter("hits", lambda h: h["rule"] == rule)).alias("h")).select(*[c for c in open_.columns if c != "hits"], F.col("h.key").alias("key"))
     met = spread_join(asked, keys.where(F.col("rule") == rule).drop("rule"), ["key"], ["candidate_id"], hot=hot)
-    return likely(met).dropDuplicates(["candidate_id", "sheet_id"])
+    return likely(met.drop("key")).distinct()
 
 
 def twins(keys: DataFrame, frequent: frozenset[str]) -> DataFrame:
@@ -350,7 +401,7 @@ def twins(keys: DataFrame, frequent: frozenset[str]) -> DataFrame:
     other = keys.where("rule <> 3").select("key", F.col("sheet_id").alias("candidate_id"), F.col("work_title").alias("title"), F.col("performer").alias("artist"), F.col("code").alias("isrc"), F.col("seconds").alias("length"), F.col("work_key").alias("title_key"))
     other = other.where(F.col("title").isNotNull() & F.col("artist").isNotNull() & ~F.col("artist").contains(","))
     met = spread_join(other, keys.where("rule <> 3").drop("rule"), ["key"], ["candidate_id"], hot=hot_keys(other, ["key"])).where(F.col("sheet_id") != F.col("candidate_id"))
-    pairs = verified(likely(met).dropDuplicates(["sheet_id", "candidate_id"]), frequent).select("sheet_id", F.col("candidate_id").alias("twin"))
+    pairs = verified(likely(met.drop("key")).distinct(), frequent).select("sheet_id", F.col("candidate_id").alias("twin"))
     return pairs.unionByName(pairs.select(F.col("twin").alias("sheet_id"), F.col("sheet_id").alias("twin"))).distinct()
 
 
@@ -363,15 +414,20 @@ def precision_of(candidates: DataFrame, keys: DataFrame, frequent: frozenset[str
     known = candidates.where(F.col("isrc") != "").join(keys.where(F.col("code") != "").select(F.col("code").alias("isrc")).distinct(), "isrc", "left_semi")
     every = max(1, known.count() // LABELLED)
     labelled = cut(known.where(F.pmod(F.xxhash64("candidate_id"), F.lit(every)) == 0))
-    parts = None
-    for rule in RULES:
-        says = F.col("length_says" if rule in (1, 5) else "code_says")
-        part = verified(met_by(labelled, keys, rule, hot), frequent).select(F.lit(rule).alias("rule"), says.alias("says"))
-        parts = part if parts is None else parts.unionByName(part)
+    asked = labelled.select("*", F.explode("hits").alias("h")).select(*[c for c in labelled.columns if c != "hits"], "h.rule", "h.key")
+    met = likely(spread_join(asked, keys.withColumnRenamed("rule", "of"), ["key"], ["candidate_id"], hot=hot).where("rule = of").drop("of", "key"))
+    pairs = met.groupBy(*[c for c in met.columns if c != "rule"]).agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))  # a pair is verified once, whatever rules it fits
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col("length_says" if r in (1, 5) else "code_says").alias("says"), (F.expr(f"getbit(rules, {r})") == 1).alias("fits")) for r in RULES]))
+    parts = verified(pairs, frequent).select(each.alias("r")).select("r.*").where("fits")
     counts = {r[0]: (r[1], r[2]) for r in parts.groupBy("rule").agg(F.count(F.when(F.col("says"), 1)), F.count("says")).collect()}  # a row a rule
     return {rule: (counts.get(rule, (0, 0))[0] + 1) / (counts.get(rule, (0, 0))[1] + 2) for rule in RULES}
 
 
+def later(records: DataFrame, rule: int) -> DataFrame:
+    """``records`` with their keys of the rules after ``rule``; without records that have none."""
+    return records.withColumn("hits", F.filter("hits", lambda h: h["rule"] > rule)).where(F.size("hits") > 0)
+
+
 def links(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     """(candidate_id, sheet_id, rule, confidence) of all pairs of one recording.
 
@@ -380,7 +436,8 @@ def links(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     """
     frequent = frequent_words(candidates.select("title"))
     keys = cut(sheet_keys(sheets))
-    everyone = cut(candidate_hits(candidates, key_filter(keys)).distinct())
+    everyone = cut(candidate_hits(candidates, key_filters(keys)).distinct())
+    keys = keys.drop("part")
     hot = cut(hot_keys(everyone.select(F.explode("hits.key").alias("key")), ["key"]))
     precision = precision_of(everyone, keys, frequent, hot)
     open_, done, open_keys, pairs = everyone, None, keys, None
@@ -392,9 +449,10 @@ def links(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
         pairs = new if pairs is None else pairs.unionByName(new)
         if rule != max(RULES):
             found_one, found_other = new.select("candidate_id").distinct(), new.select("sheet_id").distinct()
-            resolved = cut(open_.join(found_one, "candidate_id", "left_semi"))
-            done = resolved if done is None else done.unionByName(resolved)
-            open_ = cut(open_.join(found_one, "candidate_id", "left_anti"))
+            marked = cut(later(open_, rule).join(found_one.withColumn("resolved", F.lit(True)), "candidate_id", "left"))
+            resolved = marked.where("resolved").drop("resolved")
+            done = resolved if done is None else later(done, rule).unionByName(resolved)
+            open_ = marked.where("resolved is null").drop("resolved")
             open_keys = cut(open_keys.where(F.col("rule") > rule).join(found_other, "sheet_id", "left_anti"))
     more = spread_join(pairs, twins(keys, frequent), ["sheet_id"], ["candidate_id"], hot=hot_keys(pairs, ["sheet_id"])).select("candidate_id", F.col("twin").alias("sheet_id"), "rule", (F.col("confidence") * 0.9).alias("confidence"))
     every = pairs.unionByName(more)
